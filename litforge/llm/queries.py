@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from litforge.core.session import table
-from litforge.llm import together, tokens
+from litforge.llm import lookalikes, sentences, together, tokens
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,12 +19,26 @@ def p3_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return together.pair_lift(together.term_baskets(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = lookalikes.article_values(table(spark, sf_dir, "articles").select("article_id", "title", "abstract", "authors"))
+    return lookalikes.odd_fields(values).selectExpr("row_id AS article_id", "field_name")
+
+
+def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = lookalikes.article_values(table(spark, sf_dir, "articles").select("article_id", "title", "abstract", "authors"))
+    return lookalikes.canonical_texts(values).selectExpr("row_id AS article_id", "field_name", "element", "canonical")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_lift, p8_ids)}
+    return {f.__name__: f for f in (p3_found, p3_lift, p6_found, p6_canonical, p8_ids, p10_found)}
 
 
 _NORMAL = r"regexp_replace(regexp_replace(lower({0}), '[\s\p{{Z}}]+', ' ', 'g'), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')"
