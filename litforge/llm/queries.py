@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from litforge.core.session import table
-from litforge.llm import lookalikes, sentences, together, tokens
+from litforge.llm import lookalikes, sentences, termmap, together, tokens
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,11 @@ def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.canonical_texts(values).selectExpr("row_id AS article_id", "field_name", "element", "canonical")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = termmap.map_values(termmap.term_values(spark, sf_dir), table(spark, sf_dir, "canonical_terms"))
+    return found.select("source_table", "row_id", "term_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -38,7 +43,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_lift, p6_found, p6_canonical, p8_ids, p10_found)}
+    return {f.__name__: f for f in (p3_found, p3_lift, p6_found, p6_canonical, p7_found, p8_ids, p10_found)}
 
 
 _NORMAL = r"regexp_replace(regexp_replace(lower({0}), '[\s\p{{Z}}]+', ' ', 'g'), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')"
