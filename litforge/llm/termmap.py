@@ -239,7 +239,7 @@ def map_forms(forms: DataFrame, terms: DataFrame, most_terms: int = 1_000_000) -
 def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     """source_table, row_id, term_id, distance for rows of ``values(source_table, row_id, value)`` that are no entry as they stand."""
     spellings = F.concat(F.array("preferred"), F.coalesce("synonyms", F.array().cast("array<string>")))
-    exact = terms.select(normal_form(F.explode(spellings)).alias("form")).distinct()
+    exact = terms.select(F.explode(spellings).alias("form")).select(normal_form(F.col("form")).alias("form")).distinct()
     rows = values.select("source_table", "row_id", normal_form(F.col("value")).alias("form")).where(F.col("form") != "").join(exact, "form", "left_anti")
     return rows.join(map_forms(rows, terms), "form").select("source_table", "row_id", "term_id", "distance")
 
