@@ -233,7 +233,8 @@ def map_forms(forms: DataFrame, terms: DataFrame, most_terms: int = 1_000_000) -
                 [batch.column(0), pa.array([h[0] for h in hits], pa.int32()), pa.array([h[1] for h in hits], pa.float64())], names=["form", "term_id", "distance"]
             )
 
-    return forms.select("form").where(F.col("form") != "").distinct().mapInArrow(run, "form string, term_id int, distance double")
+    spread = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the search is CPU work, which bytes don't show
+    return forms.select("form").where(F.col("form") != "").distinct().repartition(spread).mapInArrow(run, "form string, term_id int, distance double")
 
 
 def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
