@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from litforge.core.session import table
-from litforge.llm import lookalikes, sentences, termmap, together, tokens
+from litforge.llm import languages, lookalikes, sentences, termmap, together, tokens
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,20 @@ def p3_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return together.pair_lift(together.term_baskets(spark, sf_dir))
 
 
+def _language_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "articles").selectExpr("article_id AS id", "lang AS label", "title", "abstract")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _language_rows(spark, sf_dir)
+    return languages.mislabelled(languages.segments(rows, languages.fit(rows))).selectExpr("id AS article_id", "lang_code")
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _language_rows(spark, sf_dir)
+    return languages.segments(rows, languages.fit(rows)).withColumnRenamed("id", "article_id").drop("label")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = lookalikes.article_values(table(spark, sf_dir, "articles").select("article_id", "title", "abstract", "authors"))
     return lookalikes.odd_fields(values).selectExpr("row_id AS article_id", "field_name")
@@ -43,7 +57,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_lift, p6_found, p6_canonical, p7_found, p8_ids, p10_found)}
+    return {f.__name__: f for f in (p3_found, p3_lift, p5_found, p5_segments, p6_found, p6_canonical, p7_found, p8_ids, p10_found)}
 
 
 _NORMAL = r"regexp_replace(regexp_replace(lower({0}), '[\s\p{{Z}}]+', ' ', 'g'), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')"
