@@ -5,12 +5,13 @@ product of its letters' vectors, each rotated by its place, a text is the sum (b
 prototype the sum of the unit bundles of its texts. Prototypes are centred on their mean, which takes out what all
 languages share (names of substances, numbers), and a sentence is compared with them by cosine.
 
-The prototypes are bundled from all rows whose declared label names a language, then once more from all sentences
-that the first prototypes give a language with a margin, so that wrong labels and mixed texts wash out. Each task
+The prototypes are bundled from all rows whose declared label names a language, then once more from their sentences
+whose language by the first prototypes is the declared one or nearly so, so that wrong labels and mixed texts wash out. Each task
 bundles its own rows and sends one vector per language; only languages x dimensions numbers reach the driver.
 
 A run of sentences in one language is found by the cheapest path through the sentences, in which a change of
-language has a price. A second language of an abstract counts from ``LEAST_SENTENCES`` sentences on, a title by itself.
+language has a price. A second language of an abstract counts from ``LEAST_SENTENCES`` sentences on, a title by itself, unless it is a
+single word.
 
 Defined results: null, empty, blank and placeholder fields have no language and no segment; rows without any usable
 text get no row; repeated rows give equal results; other columns are not read.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litforge.llm.sentences import sentences
@@ -33,6 +34,8 @@ DIMENSIONS = 2048
 #: Price of a change of language between two sentences, in units of (cosine x root of words).
 CHANGE = 0.55
 LEAST_SENTENCES = 2
+#: How much nearer another language must be before the second pass takes a declared label for wrong.
+DOUBT = 0.12
 #: Word bundles remembered by one Python worker; emptied when full.
 MEMO = 15_000
 LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "pt", "ro", "ru", "zh")
@@ -51,7 +54,7 @@ NAMES = {
 }
 CODES = {name: code for code, names in NAMES.items() for name in names.split()}
 PLACEHOLDER = regex.compile(r"[\W\d_]*(?:n/?a|none|null|unknown|not available|no abstract(?: available)?)?[\W\d_]*\Z", regex.I)
-WORD = regex.compile(r"[\p{Han}々]+|[\p{Hiragana}\p{Katakana}ー]+|(?:\p{L}\p{M}*)+(?:['’](?:\p{L}\p{M}*)+)*")
+WORD = regex.compile(r"[\p{Han}々]+|[\p{Hiragana}\p{Katakana}ー]+|(?:[^\W\d_\p{Han}\p{Hiragana}\p{Katakana}]\p{M}*)+")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 LATIN = regex.compile(r"\p{Latin}")
 UNSEEN = regex.compile(r"\p{Cf}")
@@ -121,10 +124,12 @@ def space(dimensions: int) -> Space:
     return _SPACES.setdefault(dimensions, Space(dimensions))
 
 
-def units(text: str | None) -> list[tuple[int, int]]:
-    """Offsets of the sentences of a field, none if it is blank or a placeholder."""
+def units(text: str | None, whole: bool = False) -> list[tuple[int, int]]:
+    """Offsets of the sentences of a field (of its text as one, if ``whole``), none if it is blank or a placeholder."""
     if not text or PLACEHOLDER.match(text):
         return []
+    if whole:
+        return [(len(text) - len(text.lstrip()), len(text.rstrip()))]
     return [(s, e) for s, e in sentences(text) if regex.search(r"\p{L}", text[s:e])]
 
 
@@ -168,9 +173,9 @@ class Profiles:
             out.append(at)
         return out[::-1]
 
-    def segments(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
-        """(start, end, language, confidence, sentences) of the runs of one language in a field."""
-        spans = units(text)
+    def segments(self, text: str | None, whole: bool = False) -> list[tuple[int, int, str, float, int]]:
+        """(start, end, language, confidence, sentences) of the runs of one language in a field; 0 sentences: one word."""
+        spans = units(text, whole)
         if not spans:
             return []
         cosines, sizes = self.cosines([body(text[s:e]) for s, e in spans])
@@ -185,11 +190,13 @@ class Profiles:
                 out[-1][3].append((sure, max(size, 1)))
             else:
                 out.append([s, e, which, [(sure, max(size, 1))]])
+        if whole and len(WORD.findall(text)) < 2:
+            return [(s, e, self.names[w], round(c[0][0], 4), 0) for s, e, w, c in out]
         return [(s, e, self.names[w], round(sum(a * b for a, b in c) / sum(b for _, b in c), 4), len(c)) for s, e, w, c in out]
 
 
 def _bundle(rows: DataFrame, dimensions: int, first: Profiles | None) -> Profiles:
-    """Prototypes from ``rows(label, title, abstract)``: by declared label, or by what ``first`` says of each sentence."""
+    """Prototypes from ``rows(label, title, abstract)``: by declared label, without the sentences that ``first`` doubts."""
     shared = rows.sparkSession.sparkContext.broadcast(None if first is None else (first.names, first.rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +211,7 @@ def _bundle(rows: DataFrame, dimensions: int, first: Profiles | None) -> Profile
                 declared = code(label)
                 if known is None and declared is None:
                     continue
-                texts = [body(t[s:e]) for t in fields for s, e in units(t)]
+                texts = [body(t[s:e]) for t, whole in zip(fields, (True, False), strict=True) for s, e in units(t, whole)]
                 for text in texts:
                     vector, n = room.text(text)
                     if vector is None:
@@ -212,10 +219,11 @@ def _bundle(rows: DataFrame, dimensions: int, first: Profiles | None) -> Profile
                     name = declared
                     if known is not None:
                         scores = known.rows @ vector
-                        top = int(scores.argmax())
-                        if n < 4 and known.names[top] != declared or scores[top] - np.partition(scores, -2)[-2] < 0.02:
-                            continue
-                        name = known.names[top]
+                        name = known.names[int(scores.argmax())]
+                        if name != declared:
+                            if declared not in known.names or scores.max() - scores[known.names.index(declared)] > DOUBT:
+                                continue
+                            name = declared
                     if name not in sums:
                         sums[name] = np.zeros(dimensions, np.float64)
                     sums[name] += vector
@@ -229,7 +237,7 @@ def _bundle(rows: DataFrame, dimensions: int, first: Profiles | None) -> Profile
 
 
 def fit(rows: DataFrame, dimensions: int = DIMENSIONS) -> Profiles:
-    """Prototypes from all ``rows(label, title, abstract)``: by label, then by the sentences the first ones are sure of."""
+    """Prototypes from all ``rows(label, title, abstract)``: by label, then without the sentences the first ones doubt."""
     return _bundle(rows, dimensions, _bundle(rows, dimensions, None))
 
 
@@ -247,7 +255,7 @@ def segments(rows: DataFrame, profiles: Profiles) -> DataFrame:
             titles, abstracts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for i, fields in enumerate(zip(titles, abstracts, strict=True)):
                 for name, text in zip(("title", "abstract"), fields, strict=True):
-                    for found in known.segments(text):
+                    for found in known.segments(text, name == "title"):
                         for column, x in zip(out, (i, name, *found), strict=True):
                             column.append(x)
             at = pa.array(out[0], pa.int64())
@@ -263,6 +271,8 @@ def segments(rows: DataFrame, profiles: Profiles) -> DataFrame:
 
 def used_languages(found: DataFrame) -> DataFrame:
     """id, label, languages (sorted array): the languages of each row's text, as its segments show them."""
+    word = F.col("n_sentences") == 0  # a title of one word, which counts only where there is nothing else
+    found = found.withColumn("words", F.max(~word).over(Window.partitionBy("id"))).where(~word | ~F.col("words"))
     most = F.max_by("lang_code", F.struct("n_sentences", "confidence", "lang_code"))
     per = found.groupBy("id", "label", "field_name", "lang_code").agg(F.sum("n_sentences").alias("n_sentences"), F.max("n_sentences").alias("run"), F.max("confidence").alias("confidence"))
     counted = per.groupBy("id", "label", "field_name").agg(
