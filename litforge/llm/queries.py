@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from litforge.core.session import table
-from litforge.llm import languages, lookalikes, sentences, termmap, together, tokens
+from litforge.llm import languages, lookalikes, papers, sentences, termmap, together, tokens
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return papers.match_sources(papers.all_records(spark, sf_dir)).select("rec_a", "rec_b")
+
+
+def p1_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return papers.match_sources(papers.all_records(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +65,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_lift, p5_found, p5_segments, p6_found, p6_canonical, p7_found, p8_ids, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_confidence, p3_found, p3_lift, p5_found, p5_segments, p6_found, p6_canonical, p7_found, p8_ids, p10_found)}
 
 
 _NORMAL = r"regexp_replace(regexp_replace(lower({0}), '[\s\p{{Z}}]+', ' ', 'g'), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')"
