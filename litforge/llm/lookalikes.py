@@ -63,7 +63,7 @@ def width_table() -> tuple[str, str]:
             continue
         form = unicodedata.normalize("NFKC", letter)
         kind = unicodedata.decomposition(letter).split(" ")[0]
-        if len(form) == 1 and form != letter and form.isalnum() and kind in ("<wide>", "<narrow>", "<font>", "<compat>"):
+        if len(form) == 1 and form != letter and form.isalnum() and kind in ("<wide>", "<narrow>", "<font>"):
             odd.append(letter)
             plain.append(form)
     return "".join(odd), "".join(plain)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from litforge.core.session import table
-from litforge.llm import languages, lookalikes, papers, sentences, termmap, together, tokens
+from litforge.llm import languages, lookalikes, papers, sentences, survivors, termmap, together, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,14 @@ def p1_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers.match_sources(papers.all_records(spark, sf_dir))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.article_election(spark, sf_dir).selectExpr("group_id", "field_name", "rec AS article_id")
+
+
+def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(survivors.article_election(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = together.pair_lift(together.term_baskets(spark, sf_dir))
     return found.selectExpr("kind AS basket_kind", "item_a AS term_a", "item_b AS term_b")
@@ -65,7 +73,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_confidence, p3_found, p3_lift, p5_found, p5_segments, p6_found, p6_canonical, p7_found, p8_ids, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_survivors, p3_found, p3_lift, p5_found, p5_segments, p6_found, p6_canonical, p7_found, p8_ids, p10_found)}
 
 
 _NORMAL = r"regexp_replace(regexp_replace(lower({0}), '[\s\p{{Z}}]+', ' ', 'g'), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')"
