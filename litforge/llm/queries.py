@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from litforge.core.session import table
-from litforge.llm import languages, lookalikes, papers, sentences, survivors, termmap, together, tokens
+from litforge.llm import languages, lookalikes, namelink, papers, sentences, survivors, termmap, together, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,14 @@ def p3_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return together.pair_lift(together.term_baskets(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return namelink.name_pairs(namelink.link_names(namelink.author_spellings(spark, sf_dir)))
+
+
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return namelink.link_names(namelink.author_spellings(spark, sf_dir))
+
+
 def _language_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "articles").selectExpr("article_id AS id", "lang AS label", "title", "abstract")
 
@@ -73,7 +81,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_survivors, p3_found, p3_lift, p5_found, p5_segments, p6_found, p6_canonical, p7_found, p8_ids, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_survivors, p3_found, p3_lift, p4_found, p4_entities, p5_found, p5_segments, p6_found, p6_canonical, p7_found, p8_ids, p10_found)}
 
 
 _NORMAL = r"regexp_replace(regexp_replace(lower({0}), '[\s\p{{Z}}]+', ' ', 'g'), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')"
