@@ -255,13 +255,15 @@ def radius_pairs(names: DataFrame, radius: int = RADIUS) -> DataFrame:
     most MOST_PIVOTS pivots of each block and length are broadcast.
     """
     lengths = F.sequence(F.length("name"), F.length("name") + radius)
-    sliced = names.select("block", "name").distinct().select("block", "name", F.length("name").alias("own"), F.explode(lengths).alias("size"))
-    sizes = sliced.groupBy("block", "size").agg(F.count("*").alias("n"))
+    sliced = names.select("block", "name").distinct().select("block", "name", F.explode(lengths).alias("size"))
+    sizes = sliced.groupBy("block", "size").agg(F.count("*").alias("n"), F.min("name").alias("one"))
     share = F.least(F.ceil(F.col("n") / CELL) + 1, F.lit(MOST_PIVOTS))
     drawn = sliced.join(sizes, ["block", "size"]).where(F.pmod(F.xxhash64("name"), F.col("n")) < share)
     # names of one slice drawn by hash; the slice's first ones are kept, so that the broadcast is bounded
     pivots = drawn.groupBy("block", "size").agg(F.slice(F.array_sort(F.collect_set("name")), 1, MOST_PIVOTS).alias("pivots"))
-    spread = sliced.join(pivots, ["block", "size"], "left").select("block", "size", "name", "own", F.coalesce("pivots", F.array(F.col("name"))).alias("pivots"))
+    # a slice of which none was drawn gets its smallest name
+    points = sizes.join(pivots, ["block", "size"], "left").select("block", "size", F.coalesce("pivots", F.array("one")).alias("pivots"))
+    spread = sliced.join(points, ["block", "size"]).select("block", "size", "name", "pivots")
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
