@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from litforge.core.session import table
-from litforge.llm import languages, lookalikes, namelink, papers, sentences, survivors, termmap, together, tokens
+from litforge.llm import languages, lookalikes, mixing, namelink, papers, sentences, survivors, termmap, together, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,12 +76,20 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_mix(spark, sf_dir)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_survivors, p3_found, p3_lift, p4_found, p4_entities, p5_found, p5_segments, p6_found, p6_canonical, p7_found, p8_ids, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_survivors, p3_found, p3_lift, p4_found, p4_entities, p5_found, p5_segments, p6_found, p6_canonical, p7_found, p8_ids, p9_mix, p9_shares, p10_found)}
 
 
 _NORMAL = r"regexp_replace(regexp_replace(lower({0}), '[\s\p{{Z}}]+', ' ', 'g'), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')"
