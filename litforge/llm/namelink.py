@@ -9,9 +9,11 @@ Family names that differ by a typing error are found by metric-space partitionin
 distance, a true metric: pivots are drawn by hash, every name is assigned to its nearest pivot's cell and copied to each
 cell whose pivot is at most 2 r farther (by the triangle inequality no pair within r is missed), and each cell runs an
 exact radius join, in which names whose distances to any pivot differ by more than r are passed over. A rare spelling
-is linked to a better attested name, never two attested names with each other.
+is linked to a better attested name, never two attested names with each other. What is rare is told from the occurrences
+of both names over all rows, so that a typing error that recurs stays one however much there is to read, while twins,
+each with people of its own, stay apart.
 
-Defined results: null and blank spellings have no pair; a spelling that occurs often counts once; spellings without
+Defined results: null and blank spellings have no pair; a spelling that occurs often gives its pairs once; spellings without
 letters are equal only to themselves and have no pair; empty tables give no rows.
 """
 
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +38,9 @@ from litforge.llm.lookalikes import CYRILLIC, CYRILLIC_LATIN, GREEK, GREEK_LATIN
 RADIUS = 1
 #: Names in a cell that one more pivot is drawn for, and most pivots of a block.
 CELL, MOST_PIVOTS = 400, 64
-#: A name with at most this many spellings may be a mistyped form of a better attested one.
-RARE = 2
+#: A name with at most this many spellings may be a mistyped form of a better attested one, and so may one that occurs
+#: at most this often plus SHARE times as often as the better attested one (one slip is repeated by few per cent).
+RARE, SHARE = 2, 0.05
 # Short forms of given names.
 NICKNAMES = """
 alexandru sandu, andrei andy, anton toni, beatriz bia, benjamin ben, carlos carlitos, charlotte lottie, christopher chris, daniel dan, dmitri dima,
@@ -220,13 +223,27 @@ def group_given(rows: pd.DataFrame) -> pd.DataFrame:
     """Splits the rows of one family name by given name; adds column ``part``.
 
     Full given names are joined when they are one edit apart and one of them is rare; rows with initials only join
-    the given names that start with the initial, told apart by middle initials if there are several.
+    the given names that start with the initial, told apart by middle initials if there are several. ``occurrences``
+    of a row are those of its spelling, ``given_seen`` those of its given name beside all family names, by which a
+    given name of its own is known from a mistyped one.
     """
     counts = Counter(g for g in rows.given if g)
-    names = sorted(counts, key=lambda g: (-counts[g], g))
+    seen: Counter = Counter()
+    for g, n in zip(rows.given, rows.occurrences, strict=True):
+        seen[g] += n
+    everywhere = dict(zip(rows.given, rows.given_seen, strict=True))
+
+    def close(g: str, h: str) -> bool:
+        return len(g) > 2 and abs(len(g) - len(h)) <= 1 and distance(g, h) <= 1
+
+    def slip(g: str, h: str) -> bool:
+        return seen[g] < seen[h] and seen[g] <= RARE + SHARE * seen[h] and everywhere[g] <= RARE + SHARE * everywhere[h]
+
+    late = {g for g in counts if counts[g] > RARE and any(slip(g, h) and close(g, h) for h in counts)}
+    names = sorted(counts, key=lambda g: (g in late, -counts[g], g))
     home: dict[str, str] = {}
     for g in names:
-        near = [h for h in dict.fromkeys(home.values()) if len(g) > 2 and abs(len(g) - len(h)) <= 1 and counts[g] <= RARE and distance(g, h) <= 1]
+        near = [h for h in dict.fromkeys(home.values()) if (counts[g] <= RARE or g in late and slip(g, h)) and close(g, h)]
         home[g] = near[0] if near else g
     middles: dict[str, Counter] = {}
     for g, m in zip(rows.given, rows.middle, strict=True):
@@ -347,30 +364,40 @@ def parsed(spellings: DataFrame) -> DataFrame:
 
 
 def link_names(spellings: DataFrame) -> DataFrame:
-    """name, entity: every spelling of ``spellings(name)`` with the entity it stands for (a string of no other meaning)."""
-    names = spellings.where(F.col("name").isNotNull() & F.col("name").rlike(r"\p{L}")).select("name").distinct()
-    found = parsed(names)
+    """name, entity: every spelling of ``spellings(name)`` with the entity it stands for (a string of no other meaning).
+
+    A column ``occurrences`` says how often a spelling occurs; without it each row is one occurrence.
+    """
+    often = F.sum("occurrences") if "occurrences" in spellings.columns else F.count("*")
+    names = cut(spellings.where(F.col("name").isNotNull() & F.col("name").rlike(r"\p{L}")).groupBy("name").agg(often.alias("occurrences")))
+    found = cut(parsed(names.select("name")).join(names, "name"))
+    full = found.where(F.col("given") != "")
+    given = full.groupBy("given").agg(F.sum("occurrences").alias("given_seen"))
+    found = full.join(given, "given").unionByName(found.where(F.col("given") == "").withColumn("given_seen", F.lit(0).cast("long")))
     split = cut(
         found.groupBy("kind", "family").applyInPandas(
-            lambda rows: group_given(rows)[["name", "kind", "family", "initial", "given", "middle", "part"]].astype(object),
-            "name string, kind string, family string, initial string, given string, middle string, part string",
+            lambda rows: group_given(rows)[["name", "kind", "family", "initial", "occurrences", "part"]].astype({"name": object}),
+            "name string, kind string, family string, initial string, occurrences long, part string",
         )
     )
     entity = F.concat_ws("|", "kind", "family", F.when(F.col("kind") == "o", F.col("initial")).otherwise(F.col("part")))
     split = split.withColumn("entity", entity)
     first = F.when(F.col("kind") == "o", F.col("initial")).otherwise(F.substring("part", 1, 1))
-    sizes = split.groupBy("entity", "kind", "family", "part", first.alias("first")).agg(F.count("*").alias("n"))
-    sizes = cut(sizes.withColumn("block", F.concat("kind", "first")))
+    sizes = split.groupBy("entity", "kind", "family", "part", first.alias("first")).agg(F.count("*").alias("n"), F.sum("occurrences").alias("seen"))
+    whole = F.sum("seen").over(Window.partitionBy("kind", "family"))
+    sizes = cut(sizes.withColumn("block", F.concat("kind", "first")).withColumn("family_seen", whole))
     near = radius_pairs(sizes.select("block", F.col("family").alias("name")))
     both = near.select("block", F.col("name_a").alias("x"), F.col("name_b").alias("y")).union(near.select("block", F.col("name_b").alias("x"), F.col("name_a").alias("y")))
-    rare = sizes.select("block", F.col("family").alias("x"), F.col("part").alias("part_x"), F.col("n").alias("n_x"), F.col("entity").alias("a"))
-    known = sizes.select("block", F.col("family").alias("y"), F.col("part").alias("part_y"), F.col("n").alias("n_y"), F.col("entity").alias("b"))
+    rare = sizes.select("block", F.col("family").alias("x"), F.col("part").alias("part_x"), F.col("n").alias("n_x"), F.col("seen").alias("seen_x"), F.col("family_seen").alias("family_x"), F.col("entity").alias("a"))
+    known = sizes.select("block", F.col("family").alias("y"), F.col("part").alias("part_y"), F.col("n").alias("n_y"), F.col("seen").alias("seen_y"), F.col("family_seen").alias("family_y"), F.col("entity").alias("b"))
     same = (F.col("part_x") == F.col("part_y")) | (F.length("part_x") <= 1) | (F.length("part_y") <= 1) | (F.levenshtein("part_x", "part_y") <= 2)
     better = (F.col("n_y") > F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("y") < F.col("x")))
+    # a slip is rare beside its name, with this given name and with all: a family name of other people is none
+    slip = (F.col("seen_x") < F.col("seen_y")) & (F.col("seen_x") <= RARE + SHARE * F.col("seen_y")) & (F.col("family_x") <= RARE + SHARE * F.col("family_y"))
     # an umlaut written with e is the same letter, however often it is written so
     umlaut = F.regexp_replace("x", "(?<=[aou])e", "") == F.regexp_replace("y", "(?<=[aou])e", "")
     fit = F.struct((F.col("part_x") == F.col("part_y")).alias("equal"), "n_y", "b")
-    links = both.join(rare, ["block", "x"]).join(known, ["block", "y"]).where(same & better & ((F.col("n_x") <= RARE) | umlaut)).groupBy("a").agg(F.max_by("b", fit).alias("b"))
+    links = both.join(rare, ["block", "x"]).join(known, ["block", "y"]).where(same & (better & ((F.col("n_x") <= RARE) | umlaut) | slip)).groupBy("a").agg(F.max_by("b", fit).alias("b"))
     joined = components(links.unionByName(sizes.select(F.col("entity").alias("a"), F.col("entity").alias("b"))))
     return split.select("name", "entity").join(joined, split["entity"] == joined["node"]).select("name", F.col("component").alias("entity"))
 
@@ -382,7 +409,7 @@ def name_pairs(linked: DataFrame) -> DataFrame:
 
 
 def author_spellings(spark, sf_dir: str) -> DataFrame:
-    """Distinct spellings of authors and study groups in the three places that hold them."""
+    """name, occurrences: spellings of authors and study groups in the three places that hold them."""
     articles, works = table(spark, sf_dir, "articles"), table(spark, sf_dir, "crossref_works")
     full: Column = F.transform("authors_full", lambda x: F.when(F.coalesce(x["collective"], F.lit("")) != "", x["collective"]).otherwise(F.concat(x["fore_name"], F.lit(" "), x["last_name"])))
     cross: Column = F.transform("author", lambda x: F.coalesce(x["org_name"], F.concat(x["given"], F.lit(" "), x["family"])))
@@ -391,5 +418,6 @@ def author_spellings(spark, sf_dir: str) -> DataFrame:
         .union(articles.select(F.explode(full)))
         .union(works.select(F.explode(cross)))
         .where(F.col("name").isNotNull())
-        .distinct()
+        .groupBy("name")
+        .agg(F.count("*").alias("occurrences"))
     )
