@@ -12,7 +12,7 @@ however many, do not push other records out of a window.
 
 Records of one source that match are joined to clusters. Between each two sources, clusters are assigned one to one
 so that total confidence is greatest: mutual best pairs without a rival are settled by aggregation, the conflicts
-left are small bipartite components which are solved exactly, each by itself.
+left are bipartite components, small as a rule, which are solved exactly whatever their size, each by itself.
 
 Defined results: null and blank fields add nothing to a score; a record without any key matches nothing; repeated
 rows match each other; empty tables give no rows; other columns are not read.
@@ -20,6 +20,8 @@ rows match each other; empty tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
+import math
 import unicodedata
 
 import numpy as np
@@ -37,8 +39,6 @@ WINDOW = 10
 BLOCK = 4096
 #: Score (log odds) from which two records are one paper.
 MATCH = 3.0
-#: Components of conflicting assignments up to this many pairs are solved exactly, larger ones by best pairs first.
-EXACT_PAIRS = 2_000
 # Words of study groups, which say nothing about who they are.
 GROUP_WORDS = ("study", "group", "network", "registry", "consortium", "collaborative", "project", "kidney", "heart", "lung", "infection", "cancer", "conso", "collab", "none")
 
@@ -233,50 +233,57 @@ def matches(records: DataFrame, window: int = WINDOW, block: int = BLOCK, least:
 
 
 def _assign(rows: pd.DataFrame) -> pd.DataFrame:
-    """The one-to-one choice of pairs (a, b) of one component with the greatest total score."""
-    rows = rows.sort_values(["score", "a", "b"], ascending=[False, True, True])
-    left, right = {x: i for i, x in enumerate(sorted(set(rows.a)))}, {x: i for i, x in enumerate(sorted(set(rows.b)))}
-    if len(rows) > EXACT_PAIRS:
-        seen_a, seen_b, keep = set(), set(), []
-        for a, b in zip(rows.a, rows.b, strict=True):
-            keep.append(a not in seen_a and b not in seen_b)
-            if keep[-1]:
-                seen_a.add(a)
-                seen_b.add(b)
-        return rows[keep]
-    # shortest augmenting paths over a square matrix; missing pairs score nothing
-    n = max(len(left), len(right))
-    gain = np.zeros((n + 1, n + 1))
-    for a, b, s in zip(rows.a, rows.b, rows.score, strict=True):
-        gain[left[a] + 1, right[b] + 1] = max(gain[left[a] + 1, right[b] + 1], s)
-    cost = gain.max() - gain
-    u, v, match, way = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int), np.zeros(n + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, used = np.full(n + 1, np.inf), np.zeros(n + 1, bool)
+    """The one-to-one choice of pairs (a, b) of one component with the greatest total score.
+
+    Shortest augmenting paths over the pairs there are, whatever their number: time and memory follow the pairs that a
+    path can reach, not the square of the component.
+    """
+    rows = rows.sort_values(["score", "a", "b"], ascending=[False, True, True]).drop_duplicates(["a", "b"])
+    left, _ = pd.factorize(rows.a)
+    right, ends = pd.factorize(rows.b)
+    edges: list[list[tuple[int, float]]] = [[] for _ in range(left.max() + 1)]
+    for x, j, s in zip(left.tolist(), right.tolist(), rows.score.tolist(), strict=True):
+        edges[x].append((j, s))
+    # prices of both sides; the left node of each right one, and the other way round; a left node may stay alone at no gain
+    u, v, owner, has = [0.0] * len(edges), [0.0] * len(ends), [-1] * len(ends), [-1] * len(edges)
+    for start, own in enumerate(edges):
+        u[start] = min(0.0, min(-s - v[j] for j, s in own))
+        far, came, done, heap = {}, {}, {}, []
+        x, d, scanned = start, 0.0, {start: 0.0}
+        least, last = math.inf, (start, -1)
+        while True:
+            if d - u[x] < least:
+                least, last = d - u[x], (x, -1)
+            for j, s in edges[x]:
+                now = max(d, d - s - u[x] - v[j])
+                if j not in done and now < least and now < far.get(j, math.inf):
+                    far[j], came[j] = now, x
+                    if owner[j] < 0:
+                        least, last = now, (x, j)
+                    else:
+                        heapq.heappush(heap, (now, j))
+            while heap and (heap[0][1] in done or heap[0][0] > far[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= least:
+                break
+            d, j = heapq.heappop(heap)
+            done[j] = d
+            x = owner[j]
+            scanned[x] = d
+        for node, d in scanned.items():
+            u[node] += least - d
+        for j, d in done.items():
+            v[j] -= least - d
+        x, j = last
         while True:
-            used[j0] = True
-            i0 = match[j0]
-            now = cost[i0] - u[i0] - v
-            better = ~used & (now < least)
-            better[0] = False
-            least[better], way[better] = now[better], j0
-            open_ = np.where(used, np.inf, least)
-            open_[0] = np.inf
-            j1 = int(open_.argmin())
-            delta = open_[j1]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j0 = j1
-            if match[j0] == 0:
+            before = has[x]
+            has[x] = j
+            if j >= 0:
+                owner[j] = x
+            if x == start:
                 break
-        while j0:
-            j1 = way[j0]
-            match[j0] = match[j1]
-            j0 = j1
-    chosen = {(match[j] - 1, j - 1) for j in range(1, n + 1)}
-    return rows[[(left[a], right[b]) in chosen for a, b in zip(rows.a, rows.b, strict=True)]]
+            j, x = before, came[before]
+    return rows[[has[x] == j for x, j in zip(left.tolist(), right.tolist(), strict=True)]]
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:
