@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -35,14 +36,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> int:
+    """Tasks that CPU-bound work on ``df`` is divided into."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that lineage ends here.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a private folder is made
-    only where that is unset, as in tests on one machine.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a folder of this machine is
+    made if the session runs in this one process (tests), else the cut is refused: executors could not read each other's
+    files. Files go when nothing refers to them any more (``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="litforge-"))
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="litforge-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

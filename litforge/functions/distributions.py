@@ -1,7 +1,7 @@
-"""Distribution functions as column expressions, for p-values of aggregated rows.
+"""Distribution functions as column functions, for p-values and intervals of aggregated rows.
 
-Tails come from flat positive series, which need no state between terms and hold about eleven digits absolutely. Put
-them after aggregation: they are meant for few rows.
+Tails come from :mod:`litforge.functions.special` in one Arrow batch each, so small p-values keep their digits. Put them
+after aggregation: they are meant for few rows. An argument that is null or no number gives null.
 """
 
 from __future__ import annotations
@@ -9,140 +9,53 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from litforge.core.text import bind  # noqa: F401  (used with these functions)
+from litforge.functions import special
 
 #: Fixed value: the 97.5 % point of the standard normal distribution.
 Z95 = 1.959963984540054
-# Coefficients of the Lanczos approximation with g = 7.
-LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7]
-# Coefficients of Acklam's rational approximation of the normal quantile.
-ACKLAM_A = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
-ACKLAM_B = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
-ACKLAM_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
-ACKLAM_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
-
-
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _num(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(float(x))
-
-
-def lgamma(x: Column) -> Column:
-    """Logarithm of the gamma function for x > 0."""
-
-    def body(v: Column) -> Column:
-        y = v - 1
-        total = F.lit(LANCZOS[0])
-        for i, c in enumerate(LANCZOS[1:], 1):
-            total = total + F.lit(c) / (y + i)
-        t = y + 7.5
-        return F.lit(0.5 * math.log(2 * math.pi)) + (y + 0.5) * F.log(t) - t + F.log(total)
-
-    return bind(_num(x).cast("double"), body)
-
-
-def log_choose(n: Column, k: Column) -> Column:
-    return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
-
-
-def _series(terms: int, term: Callable[[Column], Column]) -> Column:
-    return F.aggregate(F.sequence(F.lit(0), F.lit(terms)), F.lit(0.0), lambda a, k: a + term(k.cast("double")))
-
-
-def gamma_p(a: Column, x: Column) -> Column:
-    """Regularised lower incomplete gamma function."""
-    a, x = _num(a), _num(x)
-    total = _series(400, lambda k: F.exp((a + k) * F.log(x) - x - lgamma(a + k + 1)))
-    return F.when(x <= 0, 0.0).when(x > 300, 1.0).otherwise(total)
-
-
-def _half_beta(x: Column, a: Column, b: Column) -> Column:
-    log_beta = lgamma(a) + lgamma(b) - lgamma(a + b)
-    return bind(
-        a * F.log(x) + b * F.log(1 - x) - F.log(a) - log_beta + lgamma(a + 1) - lgamma(a + b),
-        lambda base: _series(500, lambda k: F.exp(base + lgamma(a + b + k) - lgamma(a + 1 + k) + k * F.log(x))),
-    )
-
-
-def beta_i(x: Column, a: Column, b: Column) -> Column:
-    """Regularised incomplete beta function."""
-    x, a, b = _num(x), _num(a), _num(b)
-    return (
-        F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x <= 0.5, _half_beta(x, a, b))
-        .when(a * (1 - x) / x > 200, 0.0).otherwise(1 - _half_beta(1 - x, b, a))
-    )
-
-
-def norm_cdf(z: Column) -> Column:
-    half = 0.5 * gamma_p(F.lit(0.5), z * z / 2)
-    return F.when(z >= 0, 0.5 + half).otherwise(0.5 - half)
-
-
-def norm_p2(z: Column) -> Column:
-    """Two-sided p of a standard normal deviate."""
-    return 1 - gamma_p(F.lit(0.5), z * z / 2)
-
-
-def norm_quantile(p: Column) -> Column:
-    """Quantile of the standard normal distribution, by Acklam's approximation and one Halley step."""
-
-    def poly(coefficients: list[float], x: Column) -> Column:
-        total = F.lit(coefficients[0])
-        for c in coefficients[1:]:
-            total = total * x + c
-        return total
-
-    low = lambda t: bind(F.sqrt(-2 * F.log(t)), lambda q: poly(ACKLAM_C, q) / poly(ACKLAM_D, q))
-    middle = bind(p - 0.5, lambda q: poly(ACKLAM_A, q * q) * q / poly(ACKLAM_B, q * q))
-    first = F.when(p < 0.02425, low(p)).when(p > 1 - 0.02425, -low(1 - p)).otherwise(middle)
-
-    def polish(x: Column) -> Column:
-        return bind((norm_cdf(x) - p) * math.sqrt(2 * math.pi) * F.exp(x * x / 2), lambda u: x - u / (1 + x * u / 2))
-
-    return F.when((p > 0) & (p < 1), bind(first, polish))
-
-
-def t_p2(t: Column, df: Column) -> Column:
-    """Two-sided p of Student's t."""
-    return beta_i(df / (df + t * t), df / 2, F.lit(0.5))
-
-
-def t_cdf(t: Column, df: Column) -> Column:
-    half = t_p2(t, df) / 2
-    return F.when(t > 0, 1 - half).otherwise(half)
-
 
-def t_quantile(p: Column, df: Column, steps: int = 60) -> Column:
-    """Quantile of Student's t by bisection on ±1000; for single rows, as every step evaluates the tail."""
-    ends = F.struct(F.lit(-1000.0).alias("lo"), F.lit(1000.0).alias("hi"))
 
-    def step(e: Column, _: Column) -> Column:
-        return bind(
-            (e["lo"] + e["hi"]) / 2,
-            lambda m: bind(t_cdf(m, df) < p, lambda below: F.struct(F.when(below, m).otherwise(e["lo"]).alias("lo"), F.when(below, e["hi"]).otherwise(m).alias("hi"))),
-        )
+def ratio(top: Column, bottom: Column) -> Column:
+    """Quotient, null where the divisor is zero."""
+    return F.try_divide(top.cast("double"), bottom.cast("double"))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ends, step)
-    return (found["lo"] + found["hi"]) / 2
 
+def _column(function: Callable[..., float]) -> Callable[..., Column]:
+    def run(*arguments: pd.Series) -> pd.Series:
+        rows = zip(*arguments, strict=True)
+        return pd.Series([function(*row) if all(math.isfinite(x) for x in row) else math.nan for row in rows], dtype="float64")
 
-def chi2_sf(x: Column, df: Column) -> Column:
-    return 1 - gamma_p(_num(df) / 2, x / 2)
+    run.__annotations__ = {"arguments": pd.Series, "return": pd.Series}
+    udf = F.pandas_udf(run, T.DoubleType())
+    return lambda *columns: F.nanvl(udf(*[(x if isinstance(x, Column) else F.lit(float(x))).cast("double") for x in columns]), F.lit(None).cast("double"))
 
 
-def f_sf(f: Column, d1: Column, d2: Column) -> Column:
-    d1, d2 = _num(d1), _num(d2)
-    return beta_i(d2 / (d2 + d1 * f), d2 / 2, d1 / 2)
+lgamma = _column(special.lgamma)
+log_choose = _column(special.log_choose)
+gamma_p = _column(lambda a, x: special.gamma_tails(a, x)[0])
+gamma_q = _column(lambda a, x: special.gamma_tails(a, x)[1])
+beta_i = _column(special.beta_tail)
+norm_cdf = _column(special.norm_cdf)
+norm_p2 = _column(special.norm_p2)
+norm_quantile = _column(special.norm_quantile)
+t_p2 = _column(special.t_p2)
+t_cdf = _column(special.t_cdf)
+t_quantile = _column(special.t_quantile)
+chi2_sf = _column(special.chi2_sf)
+f_sf = _column(special.f_sf)
+fisher_p = _column(special.fisher_p)
 
 
 def wilson(k: Column, n: Column, z: float = Z95) -> Column:
     """struct(lo, hi): Wilson interval of a proportion, null for n = 0."""
+    n = F.when(n > 0, n.cast("double"))
     p = k / n
     centre = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.when(n > 0, F.struct(F.greatest(centre - half, F.lit(0.0)).alias("lo"), F.least(centre + half, F.lit(1.0)).alias("hi")))
+    return F.when(n.isNotNull(), F.struct(F.greatest(centre - half, F.lit(0.0)).alias("lo"), F.least(centre + half, F.lit(1.0)).alias("hi")))

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from litforge.core.text import normal_form
+from litforge.core.text import bind, normal_form
+from litforge.data import load
 
 #: White space as the records' origin defines it: ASCII white space, every separator, the byte-order mark.
 WS = r"[\s\p{Z}\x{FEFF}]"
@@ -32,7 +33,7 @@ CATEGORY_RULES = [
     ("DISEASE|CONDITION|PATHOLOGY|CANCER", "condition"),
     ("CHEM|DRUG", "drug"),
     ("GENE|PROTEIN|DNA|RNA", "gene"),
-    ("ORGAN(?:[^I]|I[^S]|IS[^M]|I?S?$)|TISSUE|ANATOMY", "anatomy"),
+    ("ORGAN(?!ISM)|TISSUE|ANATOMY", "anatomy"),
     ("ORGANISM|SPECIES", "organism"),
     ("CELL", "cell"),
 ]
@@ -40,10 +41,6 @@ CATEGORIES = [
     ("condition", "Condition"), ("finding", "Sign / symptom"), ("drug", "Drug / chemical"), ("gene", "Gene / protein"),
     ("anatomy", "Anatomy"), ("cell", "Cell"), ("organism", "Organism"), ("other", "Other"),
 ]
-# Nouns for people in statements of sample size.
-PEOPLE = "patients participants subjects adults children women men individuals cases people infants neonates veterans volunteers mothers adolescents".split()
-QUALIFIERS = "consecutive eligible adult pediatric paediatric hospitali[sz]ed randomi[sz]ed enrolled critically\\s+ill older".split()
-
 
 def squeeze(text: Column) -> Column:
     """White-space runs as one space, none at the ends."""
@@ -133,76 +130,113 @@ def article_key() -> Column:
     return F.coalesce(given(F.col("pmid")), F.when(truthy(F.col("doi")), F.concat(F.lit("doi:"), F.lower("doi"))), given(F.col("source_id")), F.concat(F.lit("title:"), title))
 
 
-def study_design() -> Column:
-    """Design suggested by publication types, title and text; empty if nothing tells."""
-    types = F.transform("pub_types", lambda t: F.lower(t))
-    has = lambda *names: F.coalesce(reduce(lambda a, b: a | b, [F.array_contains(types, n) for n in names]), F.lit(False))
-    title, text = F.lower("title"), F.lower(article_text())
-    near = r"\b(prospective|retrospective)\b[^.]{0,40}\bcohort\b"
-    plain = r"\b(prospective|retrospective)\s+(?:observational\s+)?(?:study|analysis)\b"
-    # the earlier of the two phrases counts
-    phrase = F.regexp_extract(text, f"{near}|{plain}", 0)
-    time = F.initcap(F.regexp_extract(phrase, r"(prospective|retrospective)", 1))
-    return (
-        F.when(has("meta-analysis") | title.rlike("meta-?analy"), "Meta-analysis")
-        .when(has("systematic review") | title.contains("systematic review"), "Systematic review")
-        .when(has("randomized controlled trial") | text.rlike("randomi[sz]ed (?:controlled|clinical) trial|double-blind|randomly assigned"), "Randomized controlled trial")
-        .when(text.rlike("case[- ]control"), "Case-control study")
-        .when(text.rlike("cross[- ]sectional"), "Cross-sectional study")
-        .when(phrase != "", F.concat(time, F.when(phrase.contains("cohort"), " cohort study").otherwise(" study")))
-        .when(text.rlike(r"\bcohort\b"), "Cohort study")
-        .when(has("case reports") | text.rlike(r"\bwe (?:report|describe|present) a (?:case|patient)\b"), "Case report")
-        .when(text.contains("case series"), "Case series")
-        .when(has("practice guideline", "guideline"), "Guideline")
-        .when(has("clinical trial", "controlled clinical trial") | text.contains("clinical trial"), "Clinical trial")
-        .when(has("observational study"), "Observational study")
-        .when(has("review"), "Narrative review")
-        .otherwise("")
+def _phrase(text: Column, words: list[str]) -> Column:
+    """Whether one of some phrases stands in a text as whole words."""
+    return reduce(lambda a, b: a | b, [F.concat(F.lit(" "), F.regexp_replace(text, r"[^a-z0-9_]+", " "), F.lit(" ")).contains(f" {w} ") for w in words])
+
+
+def _direction(text: Column) -> Column:
+    """ "Prospective" or "Retrospective" with "cohort study" or "study": the first such word that a cohort within 40 characters
+    of its sentence, or the words study or analysis, follow; null if there is none."""
+    found = F.zip_with(
+        F.regexp_extract_all(text, F.lit(r"\b((?:pro|retro)spective)\b"), 1), F.regexp_extract_all(text, F.lit(r"\b(?:pro|retro)spective\b(?=([^.]{0,47}))"), 1),
+        lambda word, after: F.struct(word.alias("word"), after.alias("after")),
+    )
+    cohort = lambda x: F.regexp_extract(x["after"], r"^(.{0,40}?)\bcohort\b", 0) != ""
+    plain = lambda x: F.regexp_extract(x["after"], r"^\s+(?:observational\s+)?(study|analysis)\b", 1) != ""
+    first = F.get(F.filter(found, lambda x: cohort(x) | plain(x)), F.lit(0))
+    return bind(first, lambda x: F.concat(F.initcap(x["word"]), F.when(cohort(x), " cohort study").otherwise(" study")))
+
+
+def study_design(rules: list[dict] | None = None) -> Column:
+    """Design suggested by publication types, title and text; empty if nothing tells. The first of ``rules`` that fits counts.
+
+    A rule names its design and what tells it: ``types`` (whole publication types), ``title`` (in the title), ``text`` (in title
+    or abstract), ``words`` (the same, as whole words); the rule "direction of time" finds pro- and retrospective studies.
+    """
+    types, title, text = F.transform("pub_types", lambda t: F.lower(t)), F.lower("title"), F.lower(article_text())
+    found = []
+    for rule in load("study_designs") if rules is None else rules:
+        if "rule" in rule:
+            found.append(_direction(text))
+            continue
+        tests = [F.array_contains(types, t) for t in rule.get("types", ())] + [title.contains(t) for t in rule.get("title", ())] + [text.contains(t) for t in rule.get("text", ())]
+        tests += [_phrase(text, rule["words"])] if "words" in rule else []
+        found.append(F.when(reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests]), rule["design"]))
+    return F.coalesce(*found, F.lit(""))
+
+
+def _counted(text: Column, digits: str, words: list[str], adjectives: list[str], most: int) -> Column:
+    """struct(number, word) of the first number that ``words`` follow, with up to ``most`` of ``adjectives`` between; else null.
+
+    Numbers are found first, then the five words after each are read one by one: adjectives (one may be two words) are
+    passed, and what comes then must be one of ``words``.
+    """
+    at = rf"\b({digits})\s+(?=((?:\S+\s*){{1,5}}))"
+    pairs = [a for a in adjectives if " " in a]
+    single = [a for a in adjectives if " " not in a]
+    read = F.zip_with(
+        F.regexp_extract_all(text, F.lit(at), 1), F.regexp_extract_all(text, F.lit(at), 2), lambda number, after: F.struct(number.alias("number"), F.split(F.lower(after), r"\s+").alias("w"))
     )
+    step = lambda w, i: F.when(F.get(w, i).isin(*single), i + 1).when(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)).isin(*pairs), i + 2).otherwise(i)
+    noun = lambda w, i: F.regexp_extract(F.get(w, i), r"^([a-z]+)(?![a-z0-9_])", 1)
+
+    listed = lambda word: F.when(word.isin(*words), word)
 
+    def word(w: Column, i: Column, left: int) -> Column:
+        here = bind(noun(w, i), listed)
+        return here if left == 0 else F.coalesce(here, bind(step(w, i), lambda j: word(w, j, left - 1)))
 
-_PEOPLE = r"(?i)\b(\d[\d,]{1,9})\s+(?:(?:" + "|".join(QUALIFIERS) + r")\s+){0,2}(" + "|".join(PEOPLE) + r")\b"
-_STUDIES = r"(?i)\b(\d{1,4})\s+(?:randomi[sz]ed\s+)?(studies|trials|articles|reports|cohorts)\b"
-_N = r"\b[nN]\s*=\s*(\d[\d,]*)"
+    named = F.transform(read, lambda x: F.struct(x["number"].alias("number"), word(x["w"], F.lit(0), most).alias("word")))
+    return F.get(F.filter(named, lambda x: x["word"].isNotNull()), F.lit(0))
 
 
 def sample_size() -> Column:
-    """Sample size as the text states it; empty if it states none."""
-    text = article_text()
-    n, people, noun = F.regexp_extract(text, _N, 1), F.regexp_extract(text, _PEOPLE, 1), F.regexp_extract(text, _PEOPLE, 2)
-    studies, kind = F.regexp_extract(text, _STUDIES, 1), F.regexp_extract(text, _STUDIES, 2)
+    """Sample size as the text states it ("n = 80", "312 patients", "24 trials"); empty if it states none."""
+    lists, text = load("sample_words"), article_text()
+    n = F.regexp_extract(text, r"\b[nN]\s*=\s*(\d[\d,]*)", 1)
+    people = _counted(text, r"\d[\d,]{1,9}", lists["people"], lists["adjectives"], 2)
+    studies = _counted(text, r"\d{1,4}", lists["studies"], lists["study adjectives"], 1)
     case = F.coalesce(F.exists("pub_types", lambda t: F.lower(t) == "case reports"), F.lit(False))
-    return (
-        F.when(n != "", F.concat(F.lit("n = "), n))
-        .when((people != "") & ~people.rlike(r"^(?:19|20)\d\d\z"), F.concat_ws(" ", people, F.lower(noun)))
-        .when(studies != "", F.concat_ws(" ", studies, F.lower(kind)))
-        .when(case, "1 patient")
-        .otherwise("")
-    )
+    shown = lambda found: bind(found, lambda x: F.concat(x["number"], F.lit(" "), x["word"]))
+    # a bare year before people is none of them
+    persons = bind(people, lambda x: F.when(~(F.length(x["number"]).eqNullSafe(4) & x["number"].try_cast("int").between(1900, 2099)), F.concat(x["number"], F.lit(" "), x["word"])))
+    return F.coalesce(bind(n, lambda x: F.when(x != "", F.concat(F.lit("n = "), x))), persons, shown(studies), F.when(case, "1 patient"), F.lit(""))
 
 
 def participants(size: Column) -> Column:
     """Number of people in a stated sample size; null where it counts studies or states nothing."""
-    digits = F.regexp_replace(F.regexp_extract(size, r"(\d[\d,]*)", 1), ",", "")
-    return F.when((size != "") & ~size.rlike("(?i)studies|trials|articles|reports|cohorts"), digits.try_cast("long"))
+    digits = lambda s: F.regexp_replace(F.regexp_extract(s, r"(\d[\d,]*)", 1), ",", "")
+    counts = lambda s: reduce(lambda a, b: a | b, [F.lower(s).contains(w) for w in load("sample_words")["studies"]])
+    return bind(size, lambda s: F.when((s != "") & ~counts(s), digits(s).try_cast("long")))
+
+
+def _digits(text: Column, least: int) -> Column:
+    """The text if it is a number of ``least`` to 9 digits, else null."""
+    return F.when(F.length(text).between(least, 9) & (F.translate(text, "0123456789", "") == ""), text)
 
 
 def identifier(text: Column) -> Column:
-    """struct(kind, value) of a pasted DOI or PubMed id, null if it is neither."""
-    text = strip(text)
-    doi = F.lower(F.regexp_replace(F.regexp_extract(text, r'(?i)\b(10\.\d{4,9}/[^\s"<>]+)', 1), r"[.,;)\]]+\z", ""))
-    patterns = (r"(?i)^pmid:?\s*(\d{1,9})\z", r"^(\d{4,9})\z", r"(?i)pubmed\.ncbi\.nlm\.nih\.gov/(\d{1,9})")
-    pmid = F.coalesce(*[given(F.regexp_extract(text, p, 1)) for p in patterns])
+    """struct(kind, value) of a pasted DOI or PubMed id, null if it is neither.
+
+    A DOI may stand anywhere and ends at white space, a quote or an angle bracket, closing punctuation left out; a PubMed id is
+    labelled, stands alone, or follows the host of its page.
+    """
+    text = F.lower(strip(text))
+    doi = F.rtrim(F.regexp_extract(F.translate(text, "\"<>", "   "), r"\b(10\.\d{4,9}/\S+)", 1), F.lit(".,;)]"))
+    label = F.when(text.startswith("pmid"), F.ltrim(F.regexp_replace(F.substring(text, 5, 100), "^:", "")))
+    page = F.regexp_extract(F.substring_index(text, "pubmed.ncbi.nlm.nih.gov/", -1), r"^(\d{1,9})", 1)
+    url = F.when(text.contains("pubmed.ncbi.nlm.nih.gov/"), given(page))
+    pmid = F.coalesce(_digits(label, 1), _digits(text, 4), url)
     make = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
     return F.when(doi != "", make("doi", doi)).when(pmid.isNotNull(), make("pmid", pmid))
 
 
-#: Hints of Romanian in a query: its letters, or one of its small words.
-ROMANIAN = r"[ăâîșțşţĂÂÎȘȚŞŢ]|(?i)(?:^|[^\p{L}])(?:și|si|cu|pentru|în|fără|fara|sau|de|la|al|ale|din)(?:[^\p{L}]|\z)"
-
-
 def looks_romanian(query: Column) -> Column:
-    return query.rlike(ROMANIAN)
+    """Whether a query has a letter of Romanian or one of its small words."""
+    hints = load("romanian_hints")
+    letters = F.length(F.translate(query, hints["letters"], "")) < F.length(query)
+    return letters | F.arrays_overlap(F.split(F.lower(query), r"[^\p{L}]+"), F.array(*[F.lit(w) for w in hints["words"]]))
 
 
 def paper_url() -> Column:
@@ -262,3 +296,56 @@ def highlight(text: Column, spans: Column, before: str = "<mark>", after: str =
     step = lambda a, s: F.when(fits(a, s), F.struct(piece(a, s).alias("out"), s["end"].alias("at"))).otherwise(a)
     done = F.aggregate(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))), empty, step)
     return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+
+
+def marked_card(entities: Column) -> Column:
+    """struct(title, abstract) of a record with its entities marked; an entity belongs to the part that it lies in whole.
+
+    ``entities`` is array<struct<start, end>> with offsets into title, line feed and abstract.
+    """
+    size = F.length("title")
+    title = highlight(F.col("title"), F.filter(entities, lambda e: e["end"] <= size))
+    moved = F.transform(F.filter(entities, lambda e: e["start"] > size), lambda e: F.struct((e["start"] - size - 1).alias("start"), (e["end"] - size - 1).alias("end")))
+    return F.struct(title.alias("title"), highlight(F.coalesce("abstract", F.lit("")), moved).alias("abstract"))
+
+
+def short_authors(authors: Column) -> Column:
+    """Authors in a row; of more than four the first three and the last."""
+    return F.when(F.size(authors) > 4, F.concat(F.array_join(F.slice(authors, 1, 3), ", "), F.lit(", … "), F.element_at(authors, -1))).otherwise(F.array_join(authors, ", "))
+
+
+# ---------------------------------------------------------------- numbers as shown to people
+
+
+def shown_number(value: Column, digits: int = 2) -> Column:
+    """A number with at most ``digits`` decimals and thousands separated, in powers of ten if it is too small for that, "–" if there is none."""
+    value = value.cast("double")
+    none = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+    small = (value != 0) & (F.abs(value) < 10.0**-digits)
+    power = F.regexp_replace(F.format_string("%.1e", value), r"e([+-])0+(?=\d)", "e$1")
+    plain = F.call_function("format_number", F.round(value, digits), F.lit("#,##0." + "#" * digits if digits else "#,##0"))
+    return F.when(none, "–").when(small, power).otherwise(plain)
+
+
+def shown_p(p: Column, name: bool = False) -> Column:
+    """A p-value with three decimals, "< 0.001" below; with ``name`` as an equation."""
+    p = p.cast("double")
+    none, low = p.isNull() | F.isnan(p), p < 0.001
+    value = F.format_string("%.3f", p)
+    if name:
+        return F.when(none, "p = –").when(low, "p < 0.001").otherwise(F.concat(F.lit("p = "), value))
+    return F.when(none, "–").when(low, "< 0.001").otherwise(value)
+
+
+def shown_percent(share: Column, digits: int = 1) -> Column:
+    share = share.cast("double")
+    return F.when(share.isNull() | F.isnan(share), "–").otherwise(F.concat(F.format_string(f"%.{digits}f", share * 100), F.lit("%")))
+
+
+def shown_interval(value: Column, lo: Column, hi: Column, digits: int = 2) -> Column:
+    return F.concat(shown_number(value, digits), F.lit(" ("), shown_number(lo, digits), F.lit(" to "), shown_number(hi, digits), F.lit(")"))
+
+
+def typed_count(text: Column) -> Column:
+    """A typed count with white space left out, null if it is no number."""
+    return F.regexp_replace(text, WS + "+", "").try_cast("double")

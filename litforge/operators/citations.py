@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litforge.functions import text as tx
+from litforge.operators.statistics import prefix
 
 c = F.col
 
@@ -123,30 +124,20 @@ def study_label() -> Column:
 
 
 def reference_list(articles: DataFrame, style: str = "vancouver", by: str = "rank") -> DataFrame:
-    """number, reference: the references in order of ``by``, numbered for Vancouver (empty number for APA).
-
-    Numbers come from distributed ranges of ``by``: sizes per range are summed, so no task sees all records.
-    """
-    spread = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """number, reference: the references in order of ``by``, numbered for Vancouver (empty number for APA)."""
     made = articles.select(F.col(by).alias("by"), (vancouver() if style == "vancouver" else apa()).alias("reference"))
     if style != "vancouver":
         return made.select(F.lit("").alias("number"), "reference", "by")
-    return numbered(made, "by", spread).select(F.col("place").cast("string").alias("number"), "reference", "by")
+    return numbered(made, "by").select(F.col("place").cast("string").alias("number"), "reference", "by")
 
 
-def numbered(rows: DataFrame, by: str, buckets: int = 64) -> DataFrame:
-    """``rows`` with column place: 1, 2, … in the order of the distinct numeric values of ``by``.
+def numbered(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with column place: 1, 2, … in the order of the distinct numeric values of ``by``; rows without a value are left out.
 
-    A global row number without a global task: values are cut into equal ranges, ranges are numbered by themselves
-    and shifted by the sizes of those before, which is a table of ``buckets`` rows.
+    A global row number without a global task: ranges are cut at quantiles of ``by``, so values may lie as unevenly as they
+    like, numbered by themselves and shifted by the sizes of those before.
     """
-    span = rows.agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
-    width = (F.col("hi") - F.col("lo") + 1) / buckets
-    cut = rows.crossJoin(F.broadcast(span)).withColumn("__b", F.floor((F.col(by) - F.col("lo")) / width)).drop("lo", "hi")  # one row
-    sizes = cut.groupBy("__b").agg(F.count("*").alias("n"))
-    before = sizes.select("__b", (F.sum("n").over(Window.orderBy("__b")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("__b").orderBy(by)) + F.col("before")
-    return cut.join(F.broadcast(before), "__b").withColumn("place", place).drop("__b", "before")
+    return prefix(rows.where(F.col(by).isNotNull()).withColumn("__one", F.lit(1).cast("long")), by, "__one").withColumn("place", F.col("before") + 1).drop("__one", "before")
 
 
 def number_runs(numbers: Column) -> Column:
@@ -171,12 +162,23 @@ def citation_order(citations: DataFrame) -> DataFrame:
 
 
 def year_suffixes(papers: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """doc, key, suffix (a, b, …) where two and more papers of a document share author label and year; title order."""
+    """doc, key, suffix (a, b, …) where two and more papers of a document share author label and year; titles in the language's order."""
     group = Window.partitionBy(doc, F.lower("author_label"), "pub_year")
-    place = F.row_number().over(group.orderBy("title", "key"))
+    place = F.row_number().over(group.orderBy(F.collate("title", "UNICODE"), "key"))
     return papers.withColumn("n", F.count("*").over(group)).withColumn("suffix", F.char(96 + place)).where(F.col("n") > 1).select(doc, "key", "suffix")
 
 
+def author_year_labels(citations: DataFrame, papers: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """doc_id, pos, label of every citation group in author-year style, e.g. (Lee et al., 2021; Smith, 2019b); unknown keys show as ?.
+
+    ``papers`` has doc_id, key, author_label, pub_year; ``suffixes`` is :func:`year_suffixes`.
+    """
+    known = papers.join(suffixes, ["doc_id", "key"], "left").select("doc_id", "key", F.concat("author_label", F.lit(", "), _either(F.col("pub_year"), F.lit("n.d.")), F.coalesce("suffix", F.lit(""))).alias("name"))
+    rows = citations.join(known, ["doc_id", "key"], "left").select("doc_id", "pos", F.coalesce("name", F.lit("?")).alias("name"))
+    grouped = rows.groupBy("doc_id", "pos").agg(F.array_sort(F.collect_list(F.struct(F.lower("name").alias("low"), "name"))).alias("names"))
+    return grouped.select("doc_id", "pos", F.concat(F.lit("("), F.array_join(F.transform("names", lambda x: x["name"]), "; "), F.lit(")")).alias("label"))
+
+
 def cite_labels(citations: DataFrame, order: DataFrame) -> DataFrame:
     """doc_id, pos, label of every citation group in Vancouver style, e.g. [1,3–5]."""
     found = citations.join(order, ["doc_id", "key"]).groupBy("doc_id", "pos").agg(F.collect_set("number").alias("numbers"))

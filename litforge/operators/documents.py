@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litforge.data import load
+
 MARKS = ("bold", "italic", "underline", "strike")
 
 
@@ -210,6 +212,18 @@ def render(text: str, title: str, to: str, style: str = "vancouver", refs: list[
     return "\n\n".join(parts) + "\n"
 
 
+def templates() -> list[dict]:
+    """The templates of new documents: id, label and the headings of their sections."""
+    return load("templates")
+
+
+def template(key: str) -> dict:
+    """The tree of a new document: the headings of a template, each with an empty paragraph; a blank page for an unknown key."""
+    chosen = next((t for t in templates() if t["id"] == key), templates()[0])
+    parts = [x for level, name in chosen["sections"] for x in ({"type": "heading", "attrs": {"level": level}, "content": [{"type": "text", "text": name}]}, {"type": "paragraph"})]
+    return {"type": "doc", "content": parts or [{"type": "paragraph"}]}
+
+
 def render_table(docs: DataFrame, to: str) -> DataFrame:
     """id, n_words, rendered of ``docs(id, title, json, style, refs)``; refs is array<struct<key, name, label, reference>>."""
     kind = docs.schema["id"].dataType.simpleString()

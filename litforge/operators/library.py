@@ -37,10 +37,26 @@ def with_active(lists: DataFrame, list_id) -> DataFrame:
 
 
 def unique_names(names: DataFrame, name: str = "name", order: str = "pos") -> DataFrame:
-    """Names trimmed to 60 characters; the second and later equal ones (any case) get " (2)", " (3)", …"""
+    """Names trimmed to 60 characters; the second and later equal ones (any case) get " (2)", " (3)", … that no other name has."""
     short = F.left(F.trim(name), F.lit(60))
-    place = F.row_number().over(Window.partitionBy(F.lower(short)).orderBy(order))
-    return names.withColumn(name, F.when(place > 1, F.concat(short, F.lit(" ("), place.cast("string"), F.lit(")"))).otherwise(short))
+    rows = names.withColumn("__short", short).withColumn("__low", F.lower(short))
+    place = F.row_number().over(Window.partitionBy("__low").orderBy(order))
+    rows = rows.withColumn("__place", place)
+    # numbers that typed names hold already are passed over
+    taken = rows.where(c("__place") == 1).select(F.regexp_extract("__low", r"^(.*) \((\d+)\)\z", 1).alias("__low"), F.regexp_extract("__low", r"^(.*) \((\d+)\)\z", 2).try_cast("int").alias("n")).where(c("n") > 1)
+    held = taken.groupBy("__low").agg(F.collect_set("n").alias("__held"))
+    rows = rows.join(held, "__low", "left")
+    free = F.filter(F.sequence(F.lit(2), c("__place") + F.size(F.coalesce("__held", F.array().cast("array<int>")))), lambda n: ~F.array_contains(F.coalesce("__held", F.array().cast("array<int>")), n))
+    suffix = F.get(free, c("__place") - 2)
+    made = F.when(c("__place") > 1, F.concat("__short", F.lit(" ("), suffix.cast("string"), F.lit(")"))).otherwise(c("__short"))
+    return rows.withColumn(name, made).select(*names.columns)
+
+
+def created(lists: DataFrame, list_id, name: str) -> DataFrame:
+    """``lists`` with one more list, which is active; its name is made unique."""
+    pos = lists.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("pos"))
+    new = pos.select(F.lit(list_id).cast(lists.schema["list_id"].dataType).alias("list_id"), F.lit(name).alias("name"), c("pos").cast(lists.schema["pos"].dataType).alias("pos"), F.lit(True).alias("is_active"))
+    return unique_names(lists.withColumn("is_active", F.lit(False)).unionByName(new.select(*lists.columns)))
 
 
 def renamed(lists: DataFrame, list_id, name: str) -> DataFrame:
@@ -100,6 +116,11 @@ def recorded(history: DataFrame, searches: DataFrame, most: int = HISTORY) -> Da
     return newest.orderBy(F.desc("date"), "state").limit(most)
 
 
+def previous_run(history: DataFrame, state: str) -> DataFrame:
+    """The entry of a search in the history, no row if it was not run."""
+    return history.where(c("state") == state)
+
+
 def new_since(run: DataFrame, previous: DataFrame, key: str = "pmid") -> DataFrame:
     """Papers of a run that an earlier run of the same search did not have."""
     return run.join(previous.select(key).distinct(), key, "left_anti")
@@ -156,10 +177,16 @@ def matrix_table(papers: DataFrame, cells: DataFrame, decisions: DataFrame, colu
 
 
 def matrix_lines(table: DataFrame, separator: str = ",") -> DataFrame:
-    """pos, line of a matrix table as CSV (quoted where needed) or, with a tab, as TSV (breaks become spaces)."""
+    """pos, line of a matrix table: the header (pos null), then a line per paper.
+
+    As CSV, cells are quoted where needed and the header begins with a byte-order mark, by which spreadsheets know the encoding;
+    lines end with CR LF (:data:`litforge.sources.files.MATRIX_BREAK`). With a tab as separator, breaks become spaces.
+    """
     names = [x for x in table.columns if x != "pos"]
     cell = tx.csv_cell if separator == "," else (lambda v: F.regexp_replace(v, r"[\t\r\n]+", " "))
-    return table.select("pos", F.concat_ws(separator, *[cell(F.coalesce(c(f"`{n}`"), F.lit(""))) for n in names]).alias("line"))
+    lines = table.select(c("pos").cast("long").alias("pos"), F.concat_ws(separator, *[cell(F.coalesce(c(f"`{n}`"), F.lit(""))) for n in names]).alias("line"))
+    head = table.sparkSession.range(1).select(F.lit(None).cast("long").alias("pos"), F.concat(F.lit("\ufeff" if separator == "," else ""), F.concat_ws(separator, *[cell(F.lit(n)) for n in names])).alias("line"))
+    return head.unionByName(lines)
 
 
 def column_ids(labels: DataFrame, label: str = "label", order: str = "pos") -> DataFrame:
@@ -169,6 +196,18 @@ def column_ids(labels: DataFrame, label: str = "label", order: str = "pos") -> D
     return labels.withColumn("col_id", F.when(place > 1, F.concat_ws("-", slug, place.cast("string"))).otherwise(slug))
 
 
+def relabelled(columns: DataFrame, col_id: str, label: str) -> DataFrame:
+    """``columns`` with a new label for one; a blank label changes nothing."""
+    new = label.strip()
+    return columns.withColumn("label", F.when(c("col_id") == col_id, new).otherwise(c("label"))) if new else columns
+
+
+def default_columns(lists: DataFrame) -> DataFrame:
+    """list_id, pos, col_id, label: the columns a new matrix has, for every list."""
+    seed = F.array(*[F.struct(F.lit(k).alias("col_id"), F.lit(label).alias("label")) for k, label in DEFAULT_COLUMNS])
+    return lists.select("list_id", F.posexplode(seed).alias("pos", "x")).select("list_id", "pos", "x.*")
+
+
 def without_column(columns: DataFrame, cells: DataFrame, col_id: str) -> tuple[DataFrame, DataFrame]:
     return columns.where(c("col_id") != col_id), cells.where(c("col_id") != col_id)
 
@@ -188,6 +227,16 @@ def upserted(rows: DataFrame, changes: DataFrame, keys: list[str], order: str) -
     return both.groupBy(*keys).agg(F.max_by(F.struct(*both.columns), order).alias("r")).select("r.*")
 
 
+def without_document(docs: DataFrame, pointer: DataFrame, doc_id) -> tuple[DataFrame, DataFrame]:
+    """``docs`` without one, and ``pointer(id)`` to the last opened one, which is cleared if it was that."""
+    return docs.where(c("id") != doc_id), pointer.where(c("id") != doc_id)
+
+
+def last_opened(docs: DataFrame, pointer: DataFrame) -> DataFrame:
+    """The document that was opened last, no row if it is gone."""
+    return docs.join(pointer.select("id"), "id", "left_semi")
+
+
 def newest_first(docs: DataFrame, updated: str = "updated_at") -> DataFrame:
     return docs.orderBy(F.desc(updated), "id")
 

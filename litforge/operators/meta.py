@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litforge.functions.distributions import Z95, chi2_sf, norm_p2
+from litforge.functions.text import shown_number
+from litforge.operators.effects import measure_label
 
 c = F.col
 
@@ -59,14 +61,36 @@ def pooled(studies: DataFrame, ratio: bool, by: str = "analysis", p: bool = True
     return out.withColumn("q_p", chi2_sf(c("q"), c("df"))).withColumn("fixed_p", norm_p2(c("fixed_z"))).withColumn("random_p", norm_p2(c("random_z"))) if p else out
 
 
-def warnings(result: DataFrame, kinds: Column | None = None) -> DataFrame:
-    """``result`` with column notes: what to mind when reading it."""
+def warnings(result: DataFrame, kinds: DataFrame | None = None, by: str = "analysis") -> DataFrame:
+    """``result`` with column notes: what to mind when reading it. ``kinds`` is (analysis, kind), the measures of the studies used."""
+    if kinds is not None:
+        counts = kinds.where(c("kind").isNotNull()).groupBy(by).agg(F.count_distinct("kind").alias("__kinds"))
+        result = result.join(counts, by, "left")
     notes = [
-        F.when(c("i2") >= 75, "considerable heterogeneity").when(c("i2") >= 50, "substantial heterogeneity"),
-        F.when(c("k") < 5, "few studies"),
-        F.when(kinds > 1, "different measures are mixed") if kinds is not None else F.lit(None).cast("string"),
+        F.when(c("__kinds") > 1, "different measures are mixed") if kinds is not None else F.lit(None).cast("string"),
+        F.when(c("i2") >= 75, "heterogeneity is high").when(c("i2") >= 50, "heterogeneity is moderate"),
+        F.when(c("k") < 5, "fewer than five studies"),
     ]
-    return result.withColumn("notes", F.array_compact(F.array(*notes)))
+    return result.withColumn("notes", F.array_compact(F.array(*notes))).drop("__kinds")
+
+
+def measure_names(kinds: DataFrame, otherwise: str = "Effect", by: str = "analysis") -> DataFrame:
+    """analysis, measure: the label of the measure that all studies share, ``otherwise`` where there are several or none."""
+    one = kinds.groupBy(by).agg(F.min("kind").alias("a"), F.max("kind").alias("b"))
+    return one.select(by, F.when(c("a") == c("b"), measure_label(c("a"))).otherwise(otherwise).alias("measure"))
+
+
+def export_lines(weighed: DataFrame, result: DataFrame, measure: str = "Effect", by: str = "analysis") -> DataFrame:
+    """analysis, part, label, line: the export of every analysis; part 0 is the header, 1 a study, 2 and 3 the pooled estimates.
+
+    ``weighed`` is :func:`weights`, ``result`` is :func:`pooled`.
+    """
+    text = lambda x: x.cast("string")
+    head = result.select(by, F.lit(0).alias("part"), F.lit("").alias("label"), F.lit(f"Study,{measure},Lower 95%,Upper 95%,Weight fixed %,Weight random %").alias("line"))
+    name = F.concat(F.lit('"'), F.replace(F.trim("label"), F.lit('"'), F.lit('""')), F.lit('"'))
+    study = weighed.select(by, F.lit(1).alias("part"), "label", F.concat_ws(",", name, text(c("est")), text(c("lo")), text(c("hi")), shown_number(c("fixed_weight"), 1), shown_number(c("random_weight"), 1)).alias("line"))
+    total = lambda part, title, n: result.select(by, F.lit(part).alias("part"), F.lit(title).alias("label"), F.concat(F.concat_ws(",", F.lit(title), text(c(n)), text(c(f"{n}_lo")), text(c(f"{n}_hi"))), F.lit(",,")).alias("line"))
+    return head.unionByName(study).unionByName(total(2, "Fixed effect", "fixed")).unionByName(total(3, "Random effects", "random"))
 
 
 def chosen_studies(papers: DataFrame, effects: DataFrame, decisions: DataFrame, overrides: DataFrame, unused: DataFrame, hand: DataFrame) -> DataFrame:

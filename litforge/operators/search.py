@@ -11,7 +11,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litforge.functions.text import ROMANIAN, given, looks_romanian, strip, truthy
+from litforge.data import load
+from litforge.functions.text import given, looks_romanian, strip, truthy
 
 c = F.col
 
@@ -87,12 +88,6 @@ def narrow(query: Column, term: Column) -> Column:
 
 # ---------------------------------------------------------------- translation
 
-# A small default glossary; larger ones are a parameter.
-GLOSSARY = {
-    "boală cronică de rinichi": "chronic kidney disease", "insuficiență cardiacă": "heart failure", "infarct miocardic": "myocardial infarction", "hipertensiune arterială": "arterial hypertension",
-    "accident vascular cerebral": "stroke", "diabet zaharat": "diabetes mellitus", "diabet": "diabetes", "pneumonie": "pneumonia", "cancer de sân": "breast cancer", "cancer pulmonar": "lung cancer",
-    "astm": "asthma", "durere": "pain", "febră": "fever", "tuse": "cough", "tratament": "treatment", "copii": "children", "vârstnici": "older adults", "sarcină": "pregnancy", "BPOC": "COPD", "HTA": "hypertension", "AVC": "stroke",
-}
 _ACCENTS = {"a": "aăâ", "i": "iî", "s": "sșş", "t": "tțţ"}
 _CONNECTIVES = {"și": "AND", "si": "AND", "sau": "OR", "fără": "NOT", "fara": "NOT"}
 _KEPT = regex.compile(r'"[^"]*"(?:\[[^\]]*\])?|\[[^\]]*\]')
@@ -101,15 +96,35 @@ _LEFT_OVER = regex.compile(r"[\p{L}-]*[ăâîșțşţ][\p{L}-]*", regex.I)
 
 
 class Glossary:
-    """Replaces known terms in list order; letters match with and without marks, capitals are kept."""
+    """Replaces known terms in list order; letters match with and without marks, capitals are kept.
 
-    def __init__(self, pairs: Iterable[tuple[str, str]]):
-        plain = {m: base for base, marks in _ACCENTS.items() for m in marks}
+    A term in capitals (2 to 5) matches as written. With ``endings`` the last vowel of each longer word may be left out
+    or be another ending, so inflected forms are known by rule.
+    """
+
+    def __init__(self, pairs: Iterable[tuple[str, str]], endings: Iterable[str] = ()):
+        self.plain = {m: base for base, marks in _ACCENTS.items() for m in marks}
+        self.endings = "|".join(self._loose(e) for e in sorted(endings, key=len, reverse=True))
         self.entries = []
         for term, english in pairs:
             exact = term.isupper() and 2 <= len(term) <= 5
-            loose = "".join(f"[{_ACCENTS[plain[x]]}]" if x in plain else regex.escape(x) for x in (term if exact else term.lower()))
-            self.entries.append((regex.compile(rf"(?<![\p{{L}}\p{{N}}]){loose}(?![\p{{L}}\p{{N}}])", 0 if exact else regex.I), english, exact))
+            body = regex.escape(term) if exact else r"\s+".join(self._word(w) for w in term.lower().split())
+            self.entries.append((regex.compile(rf"(?<![\p{{L}}\p{{N}}]){body}(?![\p{{L}}\p{{N}}])", 0 if exact else regex.I), english, exact))
+
+    def _loose(self, text: str) -> str:
+        return "".join(f"[{_ACCENTS[self.plain[x]]}]" if x in self.plain else regex.escape(x) for x in text)
+
+    def _word(self, word: str) -> str:
+        if not self.endings or len(word) < 4:
+            return self._loose(word)
+        stem = word[:-1] if word[-1] in "aăâeiu" else word
+        return f"{self._loose(stem)}(?:{self.endings})?"
+
+    @classmethod
+    def standard(cls) -> Glossary:
+        """The built-in list, longest terms first."""
+        data = load("glossary")
+        return cls(sorted((data["terms"] | data["abbreviations"]).items(), key=lambda p: -len(p[0])), data["endings"])
 
     @classmethod
     def typed(cls, text: str) -> Glossary:
@@ -117,6 +132,12 @@ class Glossary:
         pairs = [tuple(x.strip() for x in line.split("=")) for line in text.splitlines()]
         return cls(sorted((p for p in pairs if len(p) == 2 and all(p)), key=lambda p: -len(p[0])))
 
+    def __add__(self, other: Glossary) -> Glossary:
+        """Both lists, this one's terms first."""
+        both = Glossary(())
+        both.entries = self.entries + other.entries
+        return both
+
     def apply(self, text: str) -> tuple[str, int]:
         """The text with terms replaced, and how many; text inside square brackets stays."""
         count = 0
@@ -133,9 +154,15 @@ class Glossary:
         return text, count
 
 
+def romanian(query: str) -> bool:
+    """Whether a query has a letter of Romanian or one of its small words, as :func:`litforge.functions.text.looks_romanian` tells for a column."""
+    hints = load("romanian_hints")
+    return any(x in hints["letters"] for x in query) or not set(hints["words"]).isdisjoint(regex.split(r"[^\p{L}]+", query.lower()))
+
+
 def translate(query: str, glossary: Glossary) -> tuple[str, int, list[str]]:
     """(text, replaced, untranslated) of a Romanian query; quoted phrases and field tags stay, others are left alone."""
-    if not regex.search(ROMANIAN.replace(r"\z", r"\Z").replace("|(?i)(?:^|[^\\p{L}])", "|(?i:(?:^|[^\\p{L}])") + ")", query):
+    if not romanian(query):
         return query, 0, []
     out, at, replaced = [], 0, 0
     for m in [*_KEPT.finditer(query), None]:
@@ -152,10 +179,9 @@ def translate(query: str, glossary: Glossary) -> tuple[str, int, list[str]]:
 def translate_table(searches: DataFrame, key: str, query: str, pairs: dict[str, str] | None = None) -> DataFrame:
     """key, text, replaced, untranslated of every query; only queries that look Romanian reach Python."""
     kind = searches.schema[key].dataType.simpleString()
-    entries = list((GLOSSARY if pairs is None else pairs).items())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        glossary = Glossary(entries)
+        glossary = Glossary.standard() if pairs is None else Glossary(pairs.items())
         for frame in frames:
             yield pd.DataFrame([(k, *translate(q, glossary)) for k, q in zip(frame.key, frame.q, strict=True)], columns=["key", "text", "replaced", "untranslated"])
 
@@ -188,6 +214,22 @@ def decode_state(fragment: str) -> dict | None:
     return {"query": parts["q"], "count": int(count) if count.isdigit() and int(count) > 0 else 50, "sort": "pub_date" if parts.get("s") == "pub_date" else "relevance", "filters": filters}
 
 
-def state_fragment(query: Column, count: Column, sort: Column) -> Column:
-    """The fragment of a search without filters, as a column."""
-    return F.concat(F.lit("#q="), F.url_encode(query), F.lit("&n="), count.cast("string"), F.lit("&s="), given(sort))
+def state_fragment(query: Column, count: Column, sort: Column, filters: Column | None = None) -> Column:
+    """The fragment of a search as a column; ``filters`` is the JSON text of what differs from none (null or "{}": nothing)."""
+    base = F.concat(F.lit("#q="), F.url_encode(query), F.lit("&n="), count.cast("string"), F.lit("&s="), given(sort))
+    if filters is None:
+        return base
+    return F.concat(base, F.when(F.coalesce(filters, F.lit("{}")) != "{}", F.concat(F.lit("&f="), F.url_encode(filters))).otherwise(""))
+
+
+def changed_filters() -> Column:
+    """JSON text of the filters of a row of searches that differ from none; the clinical question is one object of category and scope."""
+    some = lambda name: F.when(F.size(F.coalesce(name, F.array().cast("array<string>"))) > 0, c(name)).alias(name)
+    yes = lambda name: F.when(c(name), c(name)).alias(name)
+    clinical = F.when(c("clinical").isNotNull(), F.struct(c("clinical").alias("category"), "scope")).alias("clinical")
+    return F.to_json(F.struct("from_year", "to_year", some("types"), yes("free_full_text"), yes("humans"), some("languages"), some("ages"), given(c("sex")).alias("sex"), clinical))
+
+
+def history_key(query: Column, sort: Column, filters: Column | None = None) -> Column:
+    """Key of a search in the history: its fragment without the number of papers asked for."""
+    return state_fragment(query, F.lit(0), sort, filters)

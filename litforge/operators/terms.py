@@ -2,73 +2,78 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litforge.core.frames import join_on
+from litforge.data import load
 from litforge.functions import text as tx
 
 c = F.col
 
-# Common clinical abbreviations and what they stand for, used where no paper defines them.
-COMMON_ABBREVIATIONS = {
-    "ckd": "chronic kidney disease", "aki": "acute kidney injury", "esrd": "end-stage renal disease", "eskd": "end-stage kidney disease",
-    "t2d": "type 2 diabetes", "t2dm": "type 2 diabetes mellitus", "t1d": "type 1 diabetes", "t1dm": "type 1 diabetes mellitus",
-    "dm": "diabetes mellitus", "hf": "heart failure", "chf": "congestive heart failure", "hfref": "heart failure with reduced ejection fraction",
-    "hfpef": "heart failure with preserved ejection fraction", "af": "atrial fibrillation", "afib": "atrial fibrillation",
-    "mi": "myocardial infarction", "ami": "acute myocardial infarction", "cad": "coronary artery disease", "chd": "coronary heart disease",
-    "acs": "acute coronary syndrome", "htn": "hypertension", "copd": "chronic obstructive pulmonary disease", "dvt": "deep vein thrombosis",
-    "vte": "venous thromboembolism", "pe": "pulmonary embolism", "uti": "urinary tract infection", "cap": "community-acquired pneumonia",
-    "ibd": "inflammatory bowel disease", "ibs": "irritable bowel syndrome", "gerd": "gastroesophageal reflux disease",
-    "nafld": "non-alcoholic fatty liver disease", "nash": "non-alcoholic steatohepatitis", "masld": "metabolic dysfunction-associated steatotic liver disease",
-    "hcc": "hepatocellular carcinoma", "nsclc": "non-small cell lung cancer", "sclc": "small cell lung cancer", "crc": "colorectal cancer",
-    "aml": "acute myeloid leukemia", "all": "acute lymphoblastic leukemia", "cll": "chronic lymphocytic leukemia", "cml": "chronic myeloid leukemia",
-    "ra": "rheumatoid arthritis", "sle": "systemic lupus erythematosus", "ms": "multiple sclerosis", "ad": "alzheimer disease",
-    "pd": "parkinson disease", "tbi": "traumatic brain injury", "ards": "acute respiratory distress syndrome", "osa": "obstructive sleep apnea",
-    "pcos": "polycystic ovary syndrome", "hiv": "human immunodeficiency virus", "tb": "tuberculosis", "ptsd": "post-traumatic stress disorder",
-    "adhd": "attention deficit hyperactivity disorder", "mdd": "major depressive disorder", "ocd": "obsessive-compulsive disorder",
-    "sglt2i": "sglt2 inhibitor", "sglt2 inhibitor": "sglt2 inhibitor", "glp-1 ra": "glp-1 receptor agonist", "glp1ra": "glp-1 receptor agonist",
-    "ace inhibitor": "angiotensin-converting enzyme inhibitor", "acei": "angiotensin-converting enzyme inhibitor", "arb": "angiotensin receptor blocker",
-    "ppi": "proton pump inhibitor", "nsaid": "non-steroidal anti-inflammatory drug", "nsaids": "non-steroidal anti-inflammatory drug",
-    "doac": "direct oral anticoagulant", "noac": "non-vitamin k antagonist oral anticoagulant", "ici": "immune checkpoint inhibitor",
-}
-
-
-def tally(entities: DataFrame, canonical: Callable[[Column], Column] | None = None, doc: str = "article_id") -> DataFrame:
+
+def common_abbreviations() -> dict[str, str]:
+    """Common clinical abbreviations and what they stand for, used where no paper defines them."""
+    return {short: long for group in load("abbreviations").values() for short, long in group.items()}
+
+
+def counted_mentions(entities: DataFrame, canonical: Column | None = None, doc: str = "article_id", seen: list[str] | None = None) -> DataFrame:
+    """doc, category, text, term_key, seen of the mentions that count: not negated, keys of two characters and more."""
+    key = tx.normalize_term(c("text")) if canonical is None else canonical
+    order = F.struct(*[c(k).alias(f"k{i}") for i, k in enumerate(seen or [doc, *(k for k in ("pos", "entity_id") if k in entities.columns)])])
+    rows = entities.where(~F.coalesce("negated", F.lit(False)) & c("text").isNotNull())
+    return rows.select(c(doc).alias("doc"), "category", "text", key.alias("term_key"), order.alias("seen")).where(F.length("term_key") >= 2)
+
+
+def tally(entities: DataFrame, canonical: Column | None = None, doc: str = "article_id", seen: list[str] | None = None) -> DataFrame:
     """category, term_key, display, docs, mentions of the terms that are not negated.
 
-    display is the commonest written-out spelling (abbreviations come last, ties go to the smallest spelling). Spelling
-    counts and distinct documents come from two aggregations on the same key, of which the second reads the first's rows.
+    display is the commonest written-out spelling (abbreviations come last, ties go to the one seen first in the order of
+    the columns ``seen``). Spelling counts and distinct documents come from two aggregations on the same key.
     """
-    canonical = canonical or tx.normalize_term
-    rows = entities.where(~F.coalesce("negated", F.lit(False)) & c("text").isNotNull()).select(c(doc).alias("doc"), "category", "text", canonical(c("text")).alias("term_key")).where(F.length("term_key") >= 2)
-    surfaces = rows.groupBy("category", "term_key", "text").agg(F.count("*").alias("n"))
+    rows = counted_mentions(entities, canonical, doc, seen)
+    surfaces = rows.groupBy("category", "term_key", "text").agg(F.count("*").alias("n"), F.min("seen").alias("first"))
     shown = surfaces.groupBy("category", "term_key").agg(
-        F.min_by("text", F.struct(tx.is_abbreviation(c("text")).alias("abbreviated"), (-c("n")).alias("n"), "text")).alias("display"), F.sum("n").alias("mentions")
+        F.min_by("text", F.struct(tx.is_abbreviation(c("text")).alias("abbreviated"), (-c("n")).alias("n"), "first", "text")).alias("display"), F.sum("n").alias("mentions")
     )
     docs = rows.select("category", "term_key", "doc").distinct().groupBy("category", "term_key").agg(F.count("*").alias("docs"))
-    return shown.join(docs, ["category", "term_key"]).select("category", "term_key", "display", "docs", "mentions")
+    return join_on(shown, docs, ["category", "term_key"]).select("category", "term_key", "display", "docs", "mentions")
+
+
+def term_documents(entities: DataFrame, canonical: Column | None = None, doc: str = "article_id") -> DataFrame:
+    """category, term_key, doc: the documents of every term, one row each, so that no term's documents stand in one cell."""
+    return counted_mentions(entities, canonical, doc).select("category", "term_key", "doc").distinct()
 
 
 def top_terms(stats: DataFrame, per: int = 12) -> DataFrame:
-    """The first ``per`` terms of each category by papers, then mentions, then key, with their place."""
+    """The first ``per`` terms of each category by papers, then mentions, then key, with their place.
+
+    A filter on the place of a window is pushed into the sort by the planner, which keeps ``per`` rows a category of each
+    task before the shuffle.
+    """
     w = Window.partitionBy("category").orderBy(F.desc("docs"), F.desc("mentions"), "term_key")
     return stats.withColumn("place", F.row_number().over(w)).where(c("place") <= per)
 
 
 def group_terms(entities: DataFrame, doc: str | None = None) -> DataFrame:
-    """category, term_key, display (first spelling), n, negated (in every mention) of the terms, per document if named."""
+    """category, term_key, display (first spelling), n, negated (in every mention), ord of the terms, per document if named.
+
+    ord has the order of display: category, mentions (most first), spelling in the language's order.
+    """
     by = [*([doc] if doc else []), "category", "term_key"]
     rows = entities.where(c("text").isNotNull()).withColumn("term_key", tx.normalize_term(c("text")))
     order = F.struct(*([c(doc)] if doc else [c("article_id")]), "pos", "entity_id")
-    return rows.groupBy(*by).agg(F.min_by("text", order).alias("display"), F.count("*").alias("n"), F.bool_and(F.coalesce("negated", F.lit(False))).alias("negated"))
+    out = rows.groupBy(*by).agg(F.min_by("text", order).alias("display"), F.count("*").alias("n"), F.bool_and(F.coalesce("negated", F.lit(False))).alias("negated"))
+    rank = F.struct(tx.category_rank(c("category")).alias("category"), (-c("n")).alias("n"), F.lower("display").alias("name"))
+    return out.withColumn("ord", rank)
 
 
 def cooccurring(entities: DataFrame, category: str, term_key: str, limit: int = 8, doc: str = "article_id") -> DataFrame:
     """The terms that share most papers with one term: shared papers, own papers. The target's papers are a semi-join."""
-    rows = entities.where(~F.coalesce("negated", F.lit(False)) & c("text").isNotNull()).select(c(doc).alias("doc"), "category", tx.normalize_term(c("text")).alias("term_key")).where(F.length("term_key") >= 2).distinct()
+    rows = term_documents(entities, doc=doc)
     target = (c("category") == category) & (c("term_key") == term_key)
     here = rows.where(target).select("doc", F.lit(1).alias("hit"))
     marked = rows.where(~target).join(here, "doc", "left")
@@ -76,9 +81,17 @@ def cooccurring(entities: DataFrame, category: str, term_key: str, limit: int =
     return counts.orderBy(F.desc("shared"), F.desc("docs"), "category", "term_key").limit(limit)
 
 
-def papers_with_term(articles: DataFrame, entities: DataFrame, category: str, term_key: str) -> DataFrame:
+def papers_with_term(articles: DataFrame, entities: DataFrame, category: str, term_key: str, evidence: int | None = None) -> DataFrame:
+    """The articles that mention a term (not negated), of one level of evidence if a rank is named."""
     hits = entities.where((c("category") == category) & ~F.coalesce("negated", F.lit(False)) & (tx.normalize_term(c("text")) == term_key)).select("article_id").distinct()
-    return articles.join(hits, "article_id", "left_semi")
+    kept = articles if evidence is None else articles.where(tx.evidence_rank(c("pub_types")) == evidence)
+    return kept.join(hits, "article_id", "left_semi")
+
+
+def present_categories(entities: DataFrame) -> DataFrame:
+    """category, label, ord of the categories that occur, in the order of display; one small aggregation."""
+    found = entities.select("category").distinct()
+    return found.select("category", tx.category_label(c("category")).alias("label"), tx.category_rank(c("category")).alias("ord")).where(c("ord").isNotNull())
 
 
 # ---------------------------------------------------------------- abbreviations
@@ -137,7 +150,7 @@ def abbreviation_map(definitions: DataFrame, common: dict[str, str] | None = Non
     """short, long: the definition most papers give, else the common one; ties go to the smallest document's."""
     votes = definitions.groupBy("short", "long").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
     won = votes.groupBy("short").agg(F.min_by("long", F.struct((-c("n")).alias("n"), "first", "long")).alias("voted"))
-    base = definitions.sparkSession.createDataFrame(sorted((COMMON_ABBREVIATIONS if common is None else common).items()), "short string, common string")
+    base = definitions.sparkSession.createDataFrame(sorted((common_abbreviations() if common is None else common).items()), "short string, common string")
     return base.join(won, "short", "full").select("short", F.coalesce("voted", "common").alias("long"))
 
 
@@ -148,7 +161,24 @@ def with_canonical(entities: DataFrame, abbreviations: DataFrame) -> DataFrame:
     return rows.withColumn("canonical", tx.singularize(F.coalesce("__l", "__k"))).drop("__k", "__l")
 
 
-def terms_csv(stats: DataFrame, total: Column) -> DataFrame:
-    """category label, term, papers, mentions, share of papers (three decimals), as the export has them."""
+def terms_csv(stats: DataFrame, total: Column, documents: DataFrame | None = None) -> DataFrame:
+    """category label, term, papers, mentions, share of papers (three decimals), as the export has them.
+
+    With ``documents`` (:func:`term_documents`) the ids of a term's papers stand in one more column, in order, blanks between,
+    as the export wants it: a cell then grows with the papers of its term, so give it the terms that are shown.
+    """
     share = F.format_string("%.3f", c("docs") / total)
-    return stats.select(tx.category_label(c("category")).alias("category"), tx.normalize_term(c("display")).alias("term"), c("docs").alias("papers"), "mentions", share.alias("share"))
+    row = [tx.category_label(c("category")).alias("category"), tx.normalize_term(c("display")).alias("term"), c("docs").alias("papers"), "mentions", share.alias("share")]
+    if documents is None:
+        return stats.select(*row)
+    ids = join_on(documents, stats.select("category", "term_key"), ["category", "term_key"]).groupBy("category", "term_key").agg(F.array_join(F.array_sort(F.collect_list("doc")).cast("array<string>"), " ").alias("pmids"))
+    return join_on(stats, ids, ["category", "term_key"], "left").select(*row, F.coalesce("pmids", F.lit("")).alias("pmids"))
+
+
+#: Fixed value: the header of the export of terms.
+CSV_HEADER = "category,term,papers,mentions,share,pmids"
+
+
+def terms_lines(table: DataFrame) -> Column:
+    """A row of :func:`terms_csv` as a line of the file."""
+    return F.concat_ws(",", *[tx.csv_cell(c(k).cast("string")) for k in table.columns])

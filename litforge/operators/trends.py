@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litforge.core.session import cut
 from litforge.functions import text as tx
 from litforge.operators.citations import authors_of
 from litforge.operators.statistics import upper_median
@@ -34,6 +35,14 @@ def year_counts(papers: DataFrame, year: str = "pub_year") -> DataFrame:
     return densify(papers.where(number > 1800).groupBy(number.alias("year")).agg(F.count("*").alias("papers")))
 
 
+def counts_by_year(papers: DataFrame, last: int, years: int = 25, year: str = "pub_year") -> DataFrame:
+    """year, papers of the ``years`` calendar years that end with ``last``, zeros included."""
+    number = c(year).try_cast("int")
+    counts = papers.where(number.between(last - years + 1, last)).groupBy(number.alias("year")).agg(F.count("*").alias("papers"))
+    span = papers.sparkSession.range(last - years + 1, last + 1).select(c("id").cast("int").alias("year"))
+    return span.join(F.broadcast(counts), "year", "left").select("year", F.coalesce("papers", F.lit(0)).alias("papers"))  # one row a year
+
+
 def evidence_mix(papers: DataFrame) -> DataFrame:
     """rank, label, papers of the evidence levels that occur."""
     counts = papers.groupBy(tx.evidence_rank(c("pub_types")).alias("rank")).agg(F.count("*").alias("papers"))
@@ -57,22 +66,36 @@ def order_articles(papers: DataFrame, order: str, metrics: DataFrame | None = No
     return rows.orderBy(*order_keys(order))
 
 
+# Names of the parts of an overview in its export, in order.
+PARTS = {"years": "Year", "evidence": "Evidence", "designs": "Design", "journals": "Journal", "authors": "First author", "decisions": "Decision"}
+
+
+def overview_lines(table: DataFrame) -> DataFrame:
+    """ord1, ord2, papers, label, line: the export of an overview, header first; sort by ord1, ord2, papers (most first), label."""
+    name = F.element_at(F.create_map(*[F.lit(x) for pair in PARTS.items() for x in pair]), c("group"))
+    place = F.array_position(F.array(*[F.lit(k) for k in PARTS]), c("group")).cast("int")
+    text = F.concat(name, F.lit(',"'), F.replace("label", F.lit('"'), F.lit('""')), F.lit('",'), c("papers").cast("string"))
+    rows = table.where(name.isNotNull()).select(place.alias("ord1"), c("ord").alias("ord2"), "papers", "label", text.alias("line"))
+    head = table.sparkSession.createDataFrame([(0, 0, 0, "", "group,label,papers")], rows.schema)
+    return head.unionByName(rows)
+
+
 def overview(papers: DataFrame, cells: DataFrame, decisions: DataFrame, notes: DataFrame) -> DataFrame:
     """group, label, papers, ord: the summary of a list as one long table.
 
-    papers have column key; cells(key, design), decisions(key, decision), notes(key, note). One join prepares the rows,
-    each part is one small aggregation of them.
+    papers have column key; cells(key, design), decisions(key, decision), notes(key, note). One join prepares narrow rows, which
+    are cut, so that texts are read once; each part is one small aggregation of them.
     """
     rows = papers.join(cells, "key", "left").join(decisions, "key", "left").join(notes, "key", "left")
     first = F.get(authors_of(), F.lit(0))
-    size = tx.participants(tx.sample_size())
-    rows = rows.select(
+    rows = rows.withColumn("people", tx.participants(tx.sample_size()))
+    rows = cut(rows.select(
         "key", c("pub_year").try_cast("int").alias("year"), tx.evidence_rank(c("pub_types")).alias("rank"), c("journal"),
-        F.coalesce(tx.given(F.trim("design")), tx.given(tx.study_design()), F.lit("Not stated")).alias("design"),
+        F.coalesce(tx.given(F.trim("design")), F.nullif(tx.study_design(), F.lit("")), F.lit("Not stated")).alias("design"),
         F.when(first["collective"] != "", first["collective"]).otherwise(first["last"]).alias("author"),
         F.coalesce(tx.given(c("decision")), F.lit("undecided")).alias("decision"), (F.length(tx.strip(F.coalesce("abstract", F.lit("")))) > 0).alias("has_abstract"),
-        F.coalesce("retracted", F.lit(False)).alias("retracted"), (F.length(tx.strip(F.coalesce("note", F.lit("")))) > 0).alias("has_note"), F.when(size > 0, size).alias("size"),
-    )
+        F.coalesce("retracted", F.lit(False)).alias("retracted"), (F.length(tx.strip(F.coalesce("note", F.lit("")))) > 0).alias("has_note"), F.when(c("people") > 0, c("people")).alias("size"),
+    ))
     shape = lambda df, group, label, papers_, order: df.select(F.lit(group).alias("group"), label.cast("string").alias("label"), papers_.cast("long").alias("papers"), order.cast("int").alias("ord"))
     zero = F.lit(0)
     years = shape(densify(rows.where(c("year") > 1800).groupBy("year").agg(F.count("*").alias("papers"))), "years", c("year"), c("papers"), c("year"))

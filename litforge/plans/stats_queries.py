@@ -8,31 +8,12 @@ from pyspark.sql import functions as F
 from litforge.core.session import table
 from litforge.functions import distributions as d
 from litforge.operators import clinical, meta, statistics
+from litforge.plans.registry import query, rounded
 
 c = F.col
 Z = d.Z95
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that two engines' sums compare equal; undefined numbers become null."""
-    fix = lambda k: F.round(F.when(~F.isnan(k), c(k)), digits).alias(k)
-    return df.select(*[fix(k) if kind == "double" else c(k).cast("bigint").alias(k) if kind in ("int", "bigint", "smallint") else c(k) for k, kind in df.dtypes])
-
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 @query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(stddev_samp(value) / sqrt(count(*)), 6) AS se,
 round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3, round(min(value), 6) AS min, round(max(value), 6) AS max
 FROM events WHERE value IS NOT NULL GROUP BY event_type""")
@@ -75,7 +56,7 @@ def average_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(statistics.average_ranks(table(spark, sf, "part"), "p_size"))
 
 
-_BETA = "list_sum([exp({a}*ln({x})+{b}*ln(1-({x}))-ln({a})-(lgamma({a})+lgamma({b})-lgamma({a}+{b}))+lgamma({a}+1)-lgamma({a}+{b})+lgamma({a}+{b}+k)-lgamma({a}+1+k)+k*ln({x})) for k in range(0,501)])"
+_BETA = "list_sum([exp({a}*ln({x})+{b}*ln(1-({x}))-ln({a})-(lgamma({a})+lgamma({b})-lgamma({a}+{b}))+lgamma({a}+1)-lgamma({a}+{b})+lgamma({a}+{b}+j_)-lgamma({a}+1+j_)+j_*ln({x})) for j_ in range(0,501)])"
 
 
 def sql_beta(x: str, a: str, b: str) -> str:
@@ -85,7 +66,7 @@ def sql_beta(x: str, a: str, b: str) -> str:
 
 
 def sql_gamma(a: str, x: str) -> str:
-    return f"CASE WHEN ({x})<=0 THEN 0 WHEN ({x})>300 THEN 1 ELSE list_sum([exp((({a})+k)*ln({x})-({x})-lgamma(({a})+k+1)) for k in range(0,401)]) END"
+    return f"CASE WHEN ({x})<=0 THEN 0 WHEN ({x})>300 THEN 1 ELSE list_sum([exp((({a})+j_)*ln({x})-({x})-lgamma(({a})+j_+1)) for j_ in range(0,401)]) END"
 
 
 _WELCH = f"""WITH g AS (SELECT event_type, count(value) n, avg(value) m, var_samp(value) v FROM events WHERE event_type IN ('click', 'view') GROUP BY 1),
@@ -96,7 +77,7 @@ SELECT n1, n2, round(diff, 6) AS diff, round(t, 6) AS t, round(df, 4) AS df, rou
 
 @query(_WELCH)
 def welch_t(spark: SparkSession, sf: str) -> DataFrame:
-    out = statistics.welch_t(table(spark, sf, "events"), "value", "event_type", "click", "view")
+    out = statistics.welch_t(table(spark, sf, "events"), "value", "event_type", "click", "view").drop("ci_lo", "ci_hi")
     return rounded(out).withColumn("df", F.round("df", 4))
 
 
@@ -144,8 +125,8 @@ def spearman_rho(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(statistics.spearman(table(spark, sf, "part"), "p_size", "p_retailprice", p=False))
 
 
-@query("""SELECT r.l_returnflag AS r, c.l_linestatus AS c, count(l.l_orderkey) AS n FROM (SELECT DISTINCT l_returnflag FROM lineitem) r CROSS JOIN (SELECT DISTINCT l_linestatus FROM lineitem) c
-LEFT JOIN lineitem l ON l.l_returnflag = r.l_returnflag AND l.l_linestatus = c.l_linestatus GROUP BY 1, 2""")
+@query("""SELECT r, c, n, round(n * 100 / sum(n) OVER (PARTITION BY r), 6) AS row_percent FROM (SELECT r.l_returnflag AS r, c.l_linestatus AS c, count(l.l_orderkey) AS n FROM (SELECT DISTINCT l_returnflag FROM lineitem) r CROSS JOIN (SELECT DISTINCT l_linestatus FROM lineitem) c
+LEFT JOIN lineitem l ON l.l_returnflag = r.l_returnflag AND l.l_linestatus = c.l_linestatus GROUP BY 1, 2)""")
 def crosstab_long(spark: SparkSession, sf: str) -> DataFrame:
     return statistics.crosstab(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
 
@@ -156,7 +137,7 @@ m AS (SELECT n, sum(n) OVER (PARTITION BY r) * sum(n) OVER (PARTITION BY c) / su
 s AS (SELECT sum(n)::BIGINT n, sum((n - e)^2 / e) chi2, min(e) least_expected, (SELECT count(DISTINCT r) FROM x) nr, (SELECT count(DISTINCT c) FROM x) nc FROM m)
 SELECT n, round(chi2, 3) AS chi2, (nr - 1) * (nc - 1) AS df, round(sqrt(chi2 / (n * (least(nr, nc) - 1))), 6) AS cramers_v, round(least_expected, 6) AS least_expected, round(1 - ({sql_gamma("((nr-1)*(nc-1))/2", "chi2/2")}), 6) AS p FROM s""")
 def chi_square_table(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(statistics.chi_square(table(spark, sf, "entities"), "label", "category")).withColumn("chi2", F.round("chi2", 3))
+    return rounded(statistics.chi_square(table(spark, sf, "entities"), "label", "category").drop("fisher_p", "warning")).withColumn("chi2", F.round("chi2", 3))
 
 
 @query()
@@ -165,28 +146,27 @@ def compare_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Mentions by category: a sure detection (score 0.8 and more) against being denied.
-_SURE, _DENIED = c("score") >= 0.8, c("negated")
-_COUNTS = "SELECT category, count_if(score >= 0.8 AND negated) a, count_if(score >= 0.8 AND NOT negated) b, count_if(score < 0.8 AND negated) c, count_if(score < 0.8 AND NOT negated) d FROM entities WHERE score IS NOT NULL AND negated IS NOT NULL GROUP BY category"
+_COUNTS = "SELECT category, count_if(score >= 0.8 AND negated)::BIGINT a, count_if(score >= 0.8 AND NOT negated)::BIGINT b, count_if(score < 0.8 AND negated)::BIGINT c, count_if(score < 0.8 AND NOT negated)::BIGINT d FROM entities WHERE score IS NOT NULL AND negated IS NOT NULL GROUP BY category"
 
 
 def _tables(spark: SparkSession, sf: str) -> DataFrame:
-    return clinical.table2x2(table(spark, sf, "entities"), _SURE, _DENIED, ["category"])
+    return clinical.table2x2(table(spark, sf, "entities"), c("score") >= 0.8, c("negated"), ["category"])
 
 
 @query(f"""WITH t AS ({_COUNTS}), h AS (SELECT *, CASE WHEN least(a, b, c, d) = 0 THEN 0.5 ELSE 0 END AS h, (a + b + c + d) AS n, a / (a + b) AS r1, c / (c + d) AS r0 FROM t),
 k AS (SELECT *, a + h AS a1, b + h AS b1, c + h AS c1, d + h AS d1, r1 - r0 AS rd, sqrt(r1 * (1 - r1) / (a + b) + r0 * (1 - r0) / (c + d)) AS se FROM h),
 q AS (SELECT *, ln(a1 / (a1 + b1)) - ln(c1 / (c1 + d1)) AS lr, sqrt(1 / a1 - 1 / (a1 + b1) + 1 / c1 - 1 / (c1 + d1)) AS sr, ln(a1 * d1 / (b1 * c1)) AS lo, sqrt(1 / a1 + 1 / b1 + 1 / c1 + 1 / d1) AS so FROM k)
-SELECT category, a, b, c, d, round(r1, 6) AS risk1, round(r0, 6) AS risk0, round(exp(lr), 6) AS rr, round(exp(lr - {Z} * sr), 6) AS rr_lo, round(exp(lr + {Z} * sr), 6) AS rr_hi,
-round(exp(lo), 6) AS odds, round(exp(lo - {Z} * so), 6) AS odds_lo, round(exp(lo + {Z} * so), 6) AS odds_hi, round(rd, 6) AS rd, round(rd - {Z} * se, 6) AS rd_lo, round(rd + {Z} * se, 6) AS rd_hi,
-round(CASE WHEN rd <> 0 THEN 1 / abs(rd) END, 4) AS nn, CASE WHEN rd < 0 THEN 'benefit' WHEN rd > 0 THEN 'harm' END AS nn_kind, h > 0 AS corrected,
-round(n * (a * d - b * c)::DOUBLE ^ 2 / ((a + b)::DOUBLE * (c + d) * (a + c) * (b + d)), 6) AS chi2 FROM q""")
+SELECT category, a, b, c, d, round(r1, 6) AS risk1, round(r0, 6) AS risk0, round(exp(lr + e), 6) AS rr, round(exp(lr - {Z} * sr + e), 6) AS rr_lo, round(exp(lr + {Z} * sr + e), 6) AS rr_hi,
+round(exp(lo + e), 6) AS odds, round(exp(lo - {Z} * so + e), 6) AS odds_lo, round(exp(lo + {Z} * so + e), 6) AS odds_hi, round(rd, 6) AS rd, round(rd - {Z} * se, 6) AS rd_lo, round(rd + {Z} * se, 6) AS rd_hi,
+round(CASE WHEN rd <> 0 THEN 1 / abs(rd) END, 4) AS nn, CASE WHEN e IS NULL THEN NULL WHEN rd < 0 THEN 'benefit' WHEN rd > 0 THEN 'harm' END AS nn_kind, h > 0 AS corrected,
+round(coalesce(n * (a * d - b * c)::DOUBLE ^ 2 / nullif((a + b)::DOUBLE * (c + d) * (a + c) * (b + d), 0), 0) + e, 6) AS chi2 FROM (SELECT *, CASE WHEN (a + b) * (c + d) > 0 THEN 0 END AS e FROM q)""")
 def risk_2x2(spark: SparkSession, sf: str) -> DataFrame:
     out = clinical.risk(_tables(spark, sf), p=False).select("category", "a", "b", "c", "d", "risk1", "risk0", "rr", "rr_lo", "rr_hi", "odds", "odds_lo", "odds_hi", "rd", "rd_lo", "rd_hi", "nn", "nn_kind", "corrected", "chi2")
     return rounded(out).withColumn("nn", F.round("nn", 4))
 
 
 @query(f"""WITH t AS ({_COUNTS}), m AS (SELECT *, a + b r, c + d s, a + c k FROM t),
-x AS (SELECT category, a, r, s, k, unnest(range(greatest(0, k - s), least(r, k) + 1)) AS x FROM m),
+x AS (SELECT category, a, r, s, k, unnest(range(greatest(0, k - s)::BIGINT, (least(r, k) + 1)::BIGINT)) AS x FROM m),
 l AS (SELECT category, a, x, lgamma(r + 1) - lgamma(x + 1) - lgamma(r - x + 1) + lgamma(s + 1) - lgamma(k - x + 1) - lgamma(s - k + x + 1) - (lgamma(r + s + 1) - lgamma(k + 1) - lgamma(r + s - k + 1)) AS p FROM x)
 SELECT l.category, round(least(1, sum(CASE WHEN l.p <= h.p + 1e-9 THEN exp(l.p) ELSE 0 END)), 6) AS fisher_p FROM l JOIN l h ON h.category = l.category AND h.x = h.a GROUP BY 1""")
 def fisher_exact(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,9 +179,9 @@ def diagnostic_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(clinical.diagnostic(_tables(spark, sf)).select("category", "a", "b", "c", "d", "sens", "spec", "ppv", "npv", "accuracy", "prevalence", "lr_plus", "lr_minus", "dor"))
 
 
-@query(f"""SELECT category, count_if(negated) AS k, count(*) AS n,
+@query(f"""SELECT category, count_if(negated)::BIGINT AS k, count(*) AS n,
 round(greatest(0, (k / n + {Z}^2 / (2 * n)) / (1 + {Z}^2 / n) - {Z} * sqrt(k / n * (1 - k / n) / n + {Z}^2 / (4 * n * n)) / (1 + {Z}^2 / n)), 8) AS lo,
-round(least(1, (k / n + {Z}^2 / (2 * n)) / (1 + {Z}^2 / n) + {Z} * sqrt(k / n * (1 - k / n) / n + {Z}^2 / (4 * n * n)) / (1 + {Z}^2 / n)), 8) AS hi FROM entities GROUP BY category""")
+round(least(1, (k / n + {Z}^2 / (2 * n)) / (1 + {Z}^2 / n) + {Z} * sqrt(k / n * (1 - k / n) / n + {Z}^2 / (4 * n * n)) / (1 + {Z}^2 / n)), 8) AS hi FROM entities GROUP BY category""", 8)
 def wilson_interval(spark: SparkSession, sf: str) -> DataFrame:
     counts = table(spark, sf, "entities").groupBy("category").agg(F.count_if("negated").alias("k"), F.count("*").alias("n"))
     return rounded(counts.withColumn("w", d.wilson(c("k"), c("n"))).select("category", "k", "n", c("w.lo").alias("lo"), c("w.hi").alias("hi")), 8)
@@ -209,7 +189,7 @@ def wilson_interval(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH x AS (SELECT n_nationkey::BIGINT AS k, 0.2 * n_nationkey + 0.05 AS z, n_nationkey + 2.0 AS df FROM nation)
 SELECT k, round(0.5 + 0.5 * ({sql_gamma("0.5", "z*z/2")}), 8) AS norm_cdf, round(1 - ({sql_gamma("0.5", "z*z/2")}), 8) AS norm_p2, round({sql_beta("df/(df+z*z)", "df/2", "0.5::DOUBLE")}, 8) AS t_p2,
-round(1 - ({sql_gamma("df/2", "z*3/2")}), 8) AS chi2_sf, round({sql_beta("df/(df+4*z)", "df/2", "2.0::DOUBLE")}, 8) AS f_sf FROM x""")
+round(1 - ({sql_gamma("df/2", "z*3/2")}), 8) AS chi2_sf, round({sql_beta("df/(df+4*z)", "df/2", "2.0::DOUBLE")}, 8) AS f_sf FROM x""", 8)
 def distribution_tails(spark: SparkSession, sf: str) -> DataFrame:
     x = table(spark, sf, "nation").select(c("n_nationkey").cast("bigint").alias("k"), (0.2 * c("n_nationkey") + 0.05).alias("z"), (c("n_nationkey") + 2.0).alias("df"))
     out = x.select("k", d.norm_cdf(c("z")).alias("norm_cdf"), d.norm_p2(c("z")).alias("norm_p2"), d.t_p2(c("z"), c("df")).alias("t_p2"), d.chi2_sf(c("z") * 3, c("df")).alias("chi2_sf"), d.f_sf(c("z"), F.lit(4.0), c("df")).alias("f_sf"))
@@ -250,3 +230,53 @@ def meta_ratio_weights(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def meta_notes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(meta.warnings(meta.pooled(_studies(spark, sf), ratio=False)), 4)
+
+
+@query("""SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.1), 6) AS p10, round(quantile_cont(o_totalprice, 0.9), 6) AS p90, round(quantile_cont(o_totalprice, 0.99), 6) AS p99 FROM orders GROUP BY 1""")
+def quantiles_by_group(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.quantiles(table(spark, sf, "orders"), "o_totalprice", {"p10": 0.1, "p90": 0.9, "p99": 0.99}, ["o_orderpriority"])
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM orders), r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
+SELECT o_orderkey::BIGINT AS o_orderkey, o_totalprice FROM r, n WHERE i % greatest(ceil(n / 1500), 1) = 0""")
+def thinned_points(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.thinned(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+
+
+@query("""WITH m AS (SELECT l_returnflag, max(l_extendedprice) AS m FROM lineitem GROUP BY 1), r AS (SELECT *, m / 4 AS raw, 10.0 ^ floor(log10(m / 4)) AS size FROM m),
+s AS (SELECT *, CASE WHEN size >= raw THEN size WHEN 2 * size >= raw THEN 2 * size WHEN 5 * size >= raw THEN 5 * size ELSE 10 * size END AS step FROM r)
+SELECT l_returnflag, round(ceil(m / step) * step, 6) AS top, round(greatest(step, 1), 6) AS step FROM s""")
+def chart_axes(spark: SparkSession, sf: str) -> DataFrame:
+    most = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.max("l_extendedprice").alias("m"))
+    return most.select("l_returnflag", statistics.axis(c("m")).alias("a")).select("l_returnflag", "a.*")
+
+
+@query("""WITH s AS (SELECT count(*) n, corr(l_quantity, l_extendedprice) r, regr_slope(l_extendedprice, l_quantity) slope, regr_intercept(l_extendedprice, l_quantity) intercept FROM lineitem)
+SELECT n, round(r, 5) AS r, round(slope, 5) AS slope, round(intercept, 5) AS intercept FROM s""", 5)
+def correlations(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.correlate(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select("n", "r", "slope", "intercept")
+
+
+@query()
+def column_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.summary(table(spark, sf, "orders"), ["o_totalprice", "o_orderpriority", "o_orderstatus"])
+
+
+@query("""SELECT category, round(s, 8) AS ppv_at_5, round(p, 8) AS after_positive FROM (SELECT category, sens * 0.05 / (sens * 0.05 + (1 - spec) * 0.95) AS s, (lr * 0.1 / 0.9) / (1 + lr * 0.1 / 0.9) AS p
+FROM (SELECT category, a / (a + c) AS sens, d / (b + d) AS spec, (a / (a + c)) / (1 - d / (b + d)) AS lr FROM (""" + _COUNTS + """)))""", 8)
+def predictive_values(spark: SparkSession, sf: str) -> DataFrame:
+    out = clinical.diagnostic(_tables(spark, sf))
+    return out.select("category", clinical.predictive_values(c("sens"), c("spec"), F.lit(0.05))["ppv"].alias("ppv_at_5"), clinical.post_test(F.lit(0.1), c("lr_plus")).alias("after_positive"))
+
+
+@query("""SELECT a, b, c, d, CASE WHEN a <> floor(a) THEN 'Counts must be whole numbers, zero or more.' WHEN a + b = 0 OR c + d = 0 THEN 'Each group needs at least one person.' END AS problem
+FROM (SELECT l_quantity / 2 AS a, l_linenumber::DOUBLE - 1 AS b, l_linenumber::DOUBLE AS c, 0::DOUBLE AS d FROM lineitem)""")
+def table_problems(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select((c("l_quantity") / 2).alias("a"), (c("l_linenumber") - 1.0).alias("b"), c("l_linenumber").cast("double").alias("c"), F.lit(0.0).alias("d"))
+    return rows.withColumn("problem", clinical.problem())
+
+
+@query()
+def meta_export(spark: SparkSession, sf: str) -> DataFrame:
+    studies = _studies(spark, sf)
+    return meta.export_lines(meta.weights(studies, ratio=False), meta.pooled(studies, ratio=False, p=False))

@@ -6,8 +6,9 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litforge.functions import text as tx
 
@@ -39,9 +40,14 @@ def short_names(people: Column) -> Column:
 
 
 def abstract_from_index(index: Column) -> Column:
-    """The text of an inverted index (word to positions) in order of positions; gaps are skipped, of two words at one place the later in code-point order stays."""
-    places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))
-    ordered = F.array_sort(places)
+    """The text of an inverted index (word to positions) in order of positions; gaps are skipped.
+
+    Of two words at one place the later entry stays; entries whose word is a whole number count before all others, in
+    numeric order.
+    """
+    whole = lambda e: F.when(e["key"].rlike(r"^(?:0|[1-9]\d{0,8})\z"), e["key"].try_cast("long"))
+    entry = lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("at"), whole(e).isNull().alias("text"), F.coalesce(whole(e), i.cast("long")).alias("ord"), e["key"].alias("word")))
+    ordered = F.array_sort(F.flatten(F.transform(F.map_entries(index), entry)))
     kept = F.filter(ordered, lambda x, i: (i + 1 >= F.size(ordered)) | (F.get(ordered, i + 1)["at"] != x["at"]))
     return F.coalesce(F.array_join(F.transform(kept, lambda x: x["word"]), " "), F.lit(""))
 
@@ -96,9 +102,12 @@ def _flat(node: ElementTree.Element | None) -> str:
     return " ".join("".join(node.itertext()).split()) if node is not None else ""
 
 
-def parse_record(xml: str) -> dict:
-    """One bibliographic record; text of inline elements counts, as do labels of abstract sections."""
-    record = ElementTree.fromstring(xml)
+def parse_record(xml: str) -> dict | None:
+    """One bibliographic record, None if it is malformed; text of inline elements counts, as do labels of abstract sections."""
+    try:
+        record = ElementTree.fromstring(xml)
+    except ElementTree.ParseError:
+        return None
     at = lambda path: _flat(record.find(path))
     article = "MedlineCitation/Article"
     sections = [((s.get("Label") + ": ") if s.get("Label") else "") + _flat(s) for s in record.iterfind(f"{article}/Abstract/AbstractText")]
@@ -119,19 +128,29 @@ def parse_record(xml: str) -> dict:
 
 
 def articles_from_xml(records: DataFrame, xml: str = "value") -> DataFrame:
-    """Articles of a column with one record element per row."""
+    """Articles of a column with one record element per row; malformed ones are left to :func:`malformed_xml`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([parse_record(x) for x in frame.xml], columns=[p.split(" ")[0] for p in ARTICLE.split(", ")])
+            yield pd.DataFrame([r for x in frame.xml if (r := parse_record(x)) is not None], columns=[p.split(" ")[0] for p in ARTICLE.split(", ")])
 
     return records.select(c(xml).alias("xml")).where(c("xml").isNotNull()).mapInPandas(run, ARTICLE)
 
 
+def malformed_xml(records: DataFrame, xml: str = "value") -> DataFrame:
+    """The rows of ``records`` whose record can't be read."""
+
+    @F.pandas_udf(T.BooleanType())
+    def bad(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: x is not None and parse_record(x) is None)
+
+    return records.where(c(xml).isNotNull() & bad(c(xml)))
+
+
 def read_xml(spark: SparkSession, path: str, element: str = "PubmedArticle") -> DataFrame:
     """Articles of XML files; files are split at the end of each record, so a large file is read by many tasks."""
     parts = spark.read.option("lineSep", f"</{element}>").text(path)
-    start = F.locate(f"<{element}", c("value"))
+    start = F.regexp_instr(c("value"), F.lit(f"<{element}[\\s>]"))
     whole = F.concat(F.substring(c("value"), start, F.length("value")), F.lit(f"</{element}>"))
     return articles_from_xml(parts.where(start > 0).select(whole.alias("value")))
 
@@ -144,11 +163,28 @@ def search_hits(payloads: DataFrame) -> DataFrame:
     return rows.select(F.posexplode(told).alias("rank", "pmid"), c("count").cast("long").alias("total"), c("querytranslation").alias("translation"))
 
 
+#: Ids of one request to a service.
+BATCH = 200
+
+
+def batches(hits: DataFrame, size: int = BATCH) -> DataFrame:
+    """batch, pmids of ``hits(rank, pmid)``: the ids of each request, in order of rank."""
+    return hits.groupBy(F.floor(c("rank") / size).cast("int").alias("batch")).agg(F.array_sort(F.collect_list(F.struct("rank", "pmid"))).alias("hits")).select("batch", F.transform("hits", lambda h: h["pmid"]).alias("pmids"))
+
+
 def fetched(articles: DataFrame, hits: DataFrame) -> DataFrame:
-    """Articles of the hits with their rank; the order of the search is the order of rank."""
+    """Articles of the hits with their rank; the order of the search is the order of rank, hits without a record are left out."""
     return articles.join(hits.select("pmid", "rank"), "pmid")
 
 
+def link_edges(payloads: DataFrame) -> DataFrame:
+    """src, dst, kind, pos of link responses ``payloads(pmid, value)``; kind is similar or citedBy, other links are left out."""
+    shape = "linksets array<struct<linksetdbs:array<struct<linkname:string,links:array<string>>>>>"
+    sets = payloads.select(c("pmid").alias("src"), F.explode(F.get(F.from_json("value", shape)["linksets"], F.lit(0))["linksetdbs"]).alias("s"))
+    kind = F.when(c("s.linkname") == "pubmed_pubmed", "similar").when(c("s.linkname") == "pubmed_pubmed_citedin", "citedBy")
+    return sets.select("src", kind.alias("kind"), F.posexplode("s.links").alias("pos", "dst")).where(c("kind").isNotNull()).select("src", "dst", "kind", "pos")
+
+
 def linked(links: DataFrame, pmid: str, kind: str, limit: int = 50) -> DataFrame:
     """The first ``limit`` papers linked to one, itself left out, from ``links(src, dst, kind, pos)``."""
     return links.where((c("src") == pmid) & (c("kind") == kind) & (c("dst") != pmid)).orderBy("pos").limit(limit).select("dst", "pos")
@@ -171,3 +207,38 @@ def headings(table: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
     if len(prefix.strip()) < 3:
         return table.limit(0)
     return table.where(F.lower("heading").startswith(prefix.strip().lower())).orderBy("pos").limit(limit)
+
+
+def heading_suggestions(searches: DataFrame, summaries: DataFrame, limit: int = 8) -> DataFrame:
+    """key, pos, heading: the first heading of each id a search found, in the order of the ids; ids without a heading are left out.
+
+    ``searches(key, value)`` are search responses, ``summaries(value)`` summary responses; keys are what was typed, and those
+    of less than three letters have none.
+    """
+    ids = searches.where(F.length(F.trim("key")) >= 3).select("key", F.posexplode(F.from_json("value", "esearchresult struct<idlist:array<string>>")["esearchresult"]["idlist"]).alias("pos", "id"))
+    terms = summaries.select(F.explode(F.from_json("value", "result map<string,struct<ds_meshterms:array<string>>>")["result"]).alias("id", "r")).select("id", F.get("r.ds_meshterms", F.lit(0)).alias("heading"))
+    found = ids.join(terms.where(c("heading").isNotNull()).dropDuplicates(["id"]), "id")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("pos"))
+    return found.withColumn("place", place).where(c("place") <= limit).select("key", "pos", "heading")
+
+
+# What is said of an identifier that leads to no record.
+NO_IDENTIFIER = "That doesn't look like a DOI (10.xxxx/…) or a PubMed ID (digits)."
+NO_DOI, NO_PMID = "There is no record for that DOI.", "PubMed has no record with PMID %s."
+
+
+def looked_up(inputs: DataFrame, by_doi: DataFrame, by_pmid: DataFrame, text: str = "text") -> DataFrame:
+    """``inputs`` with found (a struct of the record's columns) or error: pasted identifiers routed to the source of their kind.
+
+    ``by_doi`` and ``by_pmid`` are articles of the two sources; one join each, on the kind and the value.
+    """
+    wanted = inputs.withColumn("__i", tx.identifier(c(text)))
+    shape = [x for x in by_pmid.columns if x in by_doi.columns]
+    record = F.struct(*shape)
+    both = by_doi.where(c("doi").isNotNull()).select(F.lit("doi").alias("__kind"), F.lower("doi").alias("__value"), record.alias("found")).unionByName(
+        by_pmid.where(tx.truthy(c("pmid"))).select(F.lit("pmid").alias("__kind"), c("pmid").alias("__value"), record.alias("found"))
+    )
+    both = both.dropDuplicates(["__kind", "__value"])
+    joined = wanted.join(both, (c("__i.kind") == c("__kind")) & (c("__i.value") == c("__value")), "left")
+    error = F.when(c("__i").isNull(), NO_IDENTIFIER).when(c("found").isNotNull(), F.lit(None)).when(c("__i.kind") == "doi", NO_DOI).otherwise(F.format_string(NO_PMID, c("__i.value")))
+    return joined.select(*inputs.columns, "found", error.alias("error"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,9 @@ def keep_new(batch: DataFrame, path: str, key: str = "pmid") -> None:
     spark = batch.sparkSession
     try:
         known = spark.read.parquet(path).select(key)
-        batch = batch.join(known, key, "left_anti")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
+    else:
+        batch = batch.join(known, key, "left_anti")
     batch.dropDuplicates([key]).write.mode("append").parquet(path)
