@@ -238,7 +238,7 @@ def correlation(df: DataFrame, x: str, y: str, p: bool = True) -> DataFrame:
     """n, r, t, slope, intercept (and p, ci_lo, ci_hi): Pearson's correlation and the least-squares line of y on x."""
     both = df.where(c(x).isNotNull() & c(y).isNotNull()).select(c(x).cast("double").alias("x"), c(y).cast("double").alias("y"))
     together = d.ratio(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))  # the built-in correlation fails without variation
-    one = both.agg(F.count("*").alias("n"), F.greatest(F.least(together, F.lit(1.0)), F.lit(-1.0)).alias("r"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    one = both.agg(F.count("*").alias("n"), F.when(together > 1, 1.0).when(together < -1, -1.0).otherwise(together).alias("r"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
     r = F.when((c("n") > 2) & ~F.isnan("r"), c("r"))
     out = one.withColumn("r", r).withColumn("t", d.ratio(c("r") * F.sqrt(c("n") - 2), F.sqrt(1 - c("r") * c("r"))))
     if not p:
