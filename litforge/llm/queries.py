@@ -11,15 +11,17 @@ from litforge.llm import languages, lookalikes, mixing, namelink, papers, senten
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return papers.match_sources(papers.all_records(spark, sf_dir)).select("rec_a", "rec_b")
+    return papers.match_sources(papers.all_records(spark, sf_dir))
 
 
 def p1_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return papers.match_sources(papers.all_records(spark, sf_dir))
+    """kind member: record a belongs to cluster b of its source; kind link: clusters a and b of two sources are one paper."""
+    members, links = papers.clusters(papers.all_records(spark, sf_dir))
+    return members.selectExpr("'member' AS kind", "rec AS a", "cluster AS b", "confidence").unionByName(links.selectExpr("'link' AS kind", "a", "b", "confidence"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors.article_election(spark, sf_dir).selectExpr("group_id", "field_name", "rec AS article_id")
+    return survivors.newest_complete(spark, sf_dir).selectExpr("group_id", "field_name", "rec AS article_id")
 
 
 def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
