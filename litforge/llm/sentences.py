@@ -2,7 +2,8 @@
 
 A pushdown automaton runs over the marks of a text (terminators, quotation marks, brackets, line breaks, list
 markers). Its stack holds the closing mark expected for each open quotation or bracket; a terminator ends a
-sentence only when the stack is empty after the closing marks that follow it. Periods are looked up in a trie of
+sentence only when the stack is empty after the closing marks that follow it. A second stack holds the markers of the
+list levels that are open: a known marker closes the levels above its own, a new one opens a level. Periods are looked up in a trie of
 reversed abbreviations. Scripts without capitals, without spaces or without terminators have their own rules.
 Offsets are Unicode code points, counted from 0, end exclusive.
 
@@ -98,7 +99,19 @@ class Automaton:
 
     def __init__(self, text: str, start: int, end: int):
         self.text, self.start, self.end = text, start, end
-        self.greek = None
+        self.last: dict[str, int] = {}
+
+    def closes(self, mark: str, at: int) -> bool:
+        """Whether a mark stands in the block from ``at`` on; its last place is looked up once."""
+        if mark not in self.last:
+            self.last[mark] = self.text.rfind(mark, self.start, self.end)
+        return self.last[mark] >= at
+
+    @staticmethod
+    def level(marker: str) -> str:
+        """What the markers of one list level have in common: the bullet, or digit, letter or numeral with what follows it."""
+        kind = marker.strip()
+        return regex.sub(r"\d+", "1", regex.sub(r"[ivx]{2,}", "i", regex.sub(r"[a-z](?![a-z])", "a", kind))) if len(kind) > 1 else kind
 
     def next_at(self, at: int) -> int:
         text, end = self.text, self.end
@@ -177,7 +190,7 @@ class Automaton:
     def run(self) -> list[tuple[int, int]]:
         text, end = self.text, self.end
         out: list[tuple[int, int]] = []
-        sent, at, stack, listed = self.start, self.start, [], False
+        sent, at, stack, levels = self.start, self.start, [], []
         soft: list[bool] = []
         while at < end and (mark := MARK.search(text, at, end)):
             m, c = mark.start(), text[mark.start()]
@@ -187,9 +200,10 @@ class Automaton:
                     item = DOT.match(text, at, end) or BULLET.match(text, at, end)
                     before = text[sent:m].rstrip()
                     last = before[-1:] if before else ""
-                    stops = bool(item and (DOT.match(text, at, end) or listed or last in ":;：；.!?。")) or bool(LABEL.match(text, at, end) and last and last not in ",，、;")
+                    stops = bool(item and (DOT.match(text, at, end) or levels or last in ":;：；.!?。")) or bool(LABEL.match(text, at, end) and last and last not in ",，、;")
                     if stops:
-                        listed = bool(item)
+                        mark_ = self.level(item[0]) if item else ""
+                        levels = [*levels[: levels.index(mark_) if mark_ in levels else len(levels)], mark_] if item else []
                         stack.clear()
                     if not stops and not stack and THAI.match(text, m - 1) and at < end:
                         stops = THAI.match(text, at) is not None or text[at].isupper()
@@ -231,15 +245,15 @@ class Automaton:
                     while c not in stack.pop():
                         pass
             elif c == '"':
-                if text.find('"', at, end) >= 0:
+                if self.closes('"', at):
                     stack.append('"')
             elif c in OPEN:
-                if any(text.find(x, at, end) >= 0 for x in OPEN[c]):
+                if any(self.closes(x, at) for x in OPEN[c]):
                     stack.append(OPEN[c])
         if sent < end:
             out.append((sent, end))
             soft.append(False)
-        if len(out) > 1 and all(soft[:-1]) and end - self.start <= 300 and self.title():
+        if len(out) > 1 and all(soft[:-1]) and self.title():
             return [(self.start, end)]
         return out
 

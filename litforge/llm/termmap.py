@@ -5,7 +5,9 @@ a Levenshtein automaton (bit-parallel, one bit per position of the value, with a
 returns every entry within a distance that depends on the value's length. Alias paths are spellings derived by
 rule from an entry: the inverted form ("cortex, left"), the form without spaces and punctuation, initials of entries
 of three and more words where they are unique, and wild-card paths for values with shortened words ("left gunr.
-lobe"). Words around an entry (modifiers, doses, a bracketed acronym) are peeled off when what remains is an entry.
+lobe"). Words around an entry (modifiers, doses, a bracketed acronym) are peeled off when what remains is an entry. Which
+words these are is found from the values: those that stand before, or after, ``BESIDE`` and more different entries
+(:func:`decorations`), or the caller names them.
 
 Values are reduced to distinct normal forms before the search, so that its cost follows the number of spellings,
 not of rows; exact forms are removed by an anti join first.
@@ -18,19 +20,18 @@ reference list leaves every value unmatched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litforge.core.session import table
+from litforge.core.session import spread, table
 from litforge.core.text import normal_form
 
-# Words that say something about a mention without changing the term it means.
-BEFORE = ("mild", "moderate", "severe", "possible", "probable", "suspected", "refractory", "newly diagnosed", "confirmed", "the", "a", "an")
-AFTER = ("therapy", "tablets", "tablet", "treatment", "hydrochloride", "sodium", "gene", "protein", "capsules", "injection")
+#: Different entries that a word must stand before (or after) to say something about a mention without changing its term.
+BESIDE = 5
 #: Substitutions that cost half when nearest entries are compared: digits typed or scanned for letters.
 ALIKE = {("0", "o"), ("1", "l"), ("1", "i"), ("5", "s")}
 #: Values of this length and more may be three edits away when nothing else is found.
@@ -69,7 +70,8 @@ def weighted(a: str, b: str) -> float:
 class TermTrie:
     """Trie of a reference list of (term_id, preferred, synonyms)."""
 
-    def __init__(self, terms: list[tuple[int, str, list[str] | None]]):
+    def __init__(self, terms: list[tuple[int, str, list[str] | None]], before: Iterable[str] = (), after: Iterable[str] = ()):
+        self.before, self.after = frozenset(before), frozenset(after)
         self.root: dict = {}
         self.exact: dict[str, set[int]] = {}
         squashed: dict[str, set[int]] = {}
@@ -82,6 +84,7 @@ class TermTrie:
                 if len(words) > 2:
                     initials.setdefault("".join(w[0] for w in words), set()).add(term_id)
         self.squashed = squashed
+        self.longest = max((len(form.split(" ")) for form in self.exact), default=0)
         for form, ids in self.exact.items():
             self.add(form, ids)
             words = form.split(" ")
@@ -178,54 +181,77 @@ class TermTrie:
             return term, 0.0
         if len(ids := self.shortened(value)) == 1:
             return min(ids), 0.0
-        forms, at = [value], 0
+        forms, seen, at = [value], {value}, 0
         while at < len(forms):
             form = forms[at]
             at += 1
-            rest = [form[len(w) + 1 :] for w in BEFORE if form.startswith(w + " ")]
-            rest += [form[: -len(w) - 1] for w in AFTER if form.endswith(" " + w)]
+            words = form.split(" ")
+            rest = [" ".join(words[n:]) for n in (1, 2) if len(words) > n and " ".join(words[:n]) in self.before]
+            rest += [" ".join(words[:-n]) for n in (1, 2) if len(words) > n and " ".join(words[-n:]) in self.after]
             rest += [m for pattern in (DOSE, BRACKET) if (m := pattern.sub("", form)) != form]
             if form.count(",") == 1:
                 tail, head = form.split(",")
                 rest.append(f"{head.strip()} {tail.strip()}")
             for x in rest:
                 x = plain(x)
-                if x and x not in forms and len(forms) < 24:
+                if x and x not in seen:
+                    seen.add(x)
                     forms.append(x)
         for form in forms[1:]:
             if found := self.nearest(form):
                 return found
             if len(ids := self.shortened(form)) == 1:
                 return min(ids), 0.0
+        # entries inside the value, of any length of it; no entry has more words than the longest
         words = value.split(" ")
-        inner = [" ".join(words[i:j]) for i in range(len(words)) for j in range(len(words), i, -1) if (i, j) != (0, len(words))] if len(words) <= 12 else []
-        for form in sorted(inner, key=lambda x: (-len(x), x)):
-            if len(form) > 5 and form in self.exact:
-                return min(self.exact[form]), 0.0
+        inner = {" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(i + self.longest, len(words)) + 1)}
+        if hits := [form for form in inner if len(form) > 5 and form in self.exact]:
+            return min(self.exact[min(hits, key=lambda x: (-len(x), x))]), 0.0
         if len(value) >= WIDE_FROM and (hits := self.within(value, 3)):
             distance, term = min((weighted(value, entry), min(ids)) for _, entry, ids in hits)
             return term, distance
         return 0, 0.0
 
 
-_TRIES: dict[int, TermTrie] = {}
+_TRIES: dict[tuple, TermTrie] = {}
+
 
+def decorations(forms: DataFrame, exact: DataFrame, least: int = BESIDE, most: int = 100_000) -> tuple[list[str], list[str]]:
+    """(before, after): one or two words that stand before, or after, at least ``least`` different entries among ``forms(form)``.
 
-def map_forms(forms: DataFrame, terms: DataFrame, most_terms: int = 1_000_000) -> DataFrame:
+    ``exact(form)`` are the entries' normal forms. A word needs ``least`` entries of its own, and two-word ones only count where
+    the first (or last) word alone does not; more than ``most`` are refused, as the list is in every task.
+    """
+    words = F.split("form", " ")
+    n = F.size(words)
+    some = lambda a, k: F.array_join(F.slice(words, a, k), " ")
+    cuts = [F.when(n > k, F.struct(F.lit(side).alias("side"), (some(F.lit(1), F.lit(k)) if side == "before" else some(n - k + 1, F.lit(k))).alias("word"), (some(F.lit(k + 1), n) if side == "before" else some(F.lit(1), n - k)).alias("rest"))) for side in ("before", "after") for k in (1, 2)]
+    rows = forms.select("form").distinct().select(F.explode(F.array_compact(F.array(*cuts))).alias("x")).select("x.*")
+    counted = rows.join(exact.withColumnRenamed("form", "rest"), "rest").groupBy("side", "word").agg(F.count_distinct("rest").alias("n")).where(F.col("n") >= least)
+    found = counted.select("side", "word").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} words stand beside entries")
+    return [r["word"] for r in found if r["side"] == "before"], [r["word"] for r in found if r["side"] == "after"]
+
+
+def map_forms(forms: DataFrame, terms: DataFrame, before: Iterable[str] = (), after: Iterable[str] = (), most_terms: int = 100_000) -> DataFrame:
     """form, term_id, distance for the distinct values of ``forms(form)``; term_id 0 is unmatched.
 
-    ``terms(term_id, preferred, synonyms)`` is the reference list; it goes to every task as a broadcast, so a list
-    of more than ``most_terms`` entries is refused.
+    ``terms(term_id, preferred, synonyms)`` is the reference list; it goes to every task as a broadcast and is a trie there,
+    about 10 KB an entry, so a list of more than ``most_terms`` entries is refused. ``before`` and ``after`` are words that may be
+    peeled off.
     """
     rows = [tuple(r) for r in terms.select("term_id", "preferred", "synonyms").limit(most_terms + 1).collect()]
     if len(rows) > most_terms:
         raise ValueError(f"the reference list has more than {most_terms} entries")
-    shared = forms.sparkSession.sparkContext.broadcast(sorted(rows, key=lambda r: r[0]))
+    listed = sorted(((i, p, tuple(x or ())) for i, p, x in rows), key=lambda r: r[0])
+    shared = forms.sparkSession.sparkContext.broadcast((tuple(listed), tuple(sorted(before)), tuple(sorted(after))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tuple((a, b) for a, b, _ in shared.value))
+        key = shared.value  # the whole content: two lists that differ anywhere have two tries
         if key not in _TRIES:
-            _TRIES[key] = TermTrie(shared.value)
+            _TRIES.clear()
+            _TRIES[key] = TermTrie(*key)
         find = _TRIES[key].find
         for batch in batches:
             hits = [find(x) for x in batch.column(0).to_pylist()]
@@ -233,8 +259,8 @@ def map_forms(forms: DataFrame, terms: DataFrame, most_terms: int = 1_000_000) -
                 [batch.column(0), pa.array([h[0] for h in hits], pa.int32()), pa.array([h[1] for h in hits], pa.float64())], names=["form", "term_id", "distance"]
             )
 
-    spread = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the search is CPU work, which bytes don't show
-    return forms.select("form").where(F.col("form") != "").distinct().repartition(spread).mapInArrow(run, "form string, term_id int, distance double")
+    # the search is CPU work, which bytes don't show
+    return forms.select("form").where(F.col("form") != "").distinct().repartition(spread(forms)).mapInArrow(run, "form string, term_id int, distance double")
 
 
 def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
@@ -242,7 +268,7 @@ def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     spellings = F.concat(F.array("preferred"), F.coalesce("synonyms", F.array().cast("array<string>")))
     exact = terms.select(F.explode(spellings).alias("form")).select(normal_form(F.col("form")).alias("form")).distinct()
     rows = values.select("source_table", "row_id", normal_form(F.col("value")).alias("form")).where(F.col("form") != "").join(exact, "form", "left_anti")
-    return rows.join(map_forms(rows, terms), "form").select("source_table", "row_id", "term_id", "distance")
+    return rows.join(map_forms(rows, terms, *decorations(rows, exact)), "form").select("source_table", "row_id", "term_id", "distance")
 
 
 def term_values(spark, sf_dir: str) -> DataFrame:

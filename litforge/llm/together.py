@@ -2,10 +2,10 @@
 
 Plan: distinct (kind, basket, item) rows; counts of baskets and of items; items that cannot reach the support
 are dropped (exact: a pair is never more frequent than its rarer item); the rest get dense numbers and are
-gathered per basket; baskets are cut into blocks of items, each pair of blocks is one row, and the pairs of the
-blocks are counted with map-side combining. After the support filter a basket holds at most
-``1000 / per_thousand`` times the mean basket size of items, and the blocks spread even such a basket over many
-tasks, so no task makes more than BLOCK * BLOCK pairs from one row.
+gathered per basket and cut into blocks. A basket of one block gives its pairs where it is. The blocks of larger ones
+are sent out by (basket, block, other block), so that every two blocks meet in a task of their own, and no task makes more
+than BLOCK * BLOCK pairs from one row; pairs are counted with map-side combining. After the support filter a basket holds
+at most ``1000 / per_thousand`` times the mean basket size of items, which bounds the one row that it is gathered in.
 
 Defined results: null items, null baskets and items shorter than ``shortest`` don't count; a repeated item
 counts once per basket; an empty table gives no rows.
@@ -43,13 +43,14 @@ def pair_lift(items: DataFrame, least: int = 4, per_thousand: int = 1, lift: flo
         .where(F.size("all") > 1)
     )
     n_blocks = F.ceil(F.size("all") / F.lit(BLOCK)).cast("int")
-    cut_at = lambda block: F.slice("all", block * BLOCK + 1, F.lit(BLOCK))
-    blocks = (
-        gathered.select("kind", "all", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("left"), n_blocks.alias("blocks"))
-        .select("kind", "all", "left", F.explode(F.sequence(F.col("left"), F.col("blocks") - 1)).alias("right"))
-        .select("kind", cut_at(F.col("left")).alias("xs"), cut_at(F.col("right")).alias("ys"))
-    )
-    pairs = blocks.select("kind", F.explode("xs").alias("item_a"), "ys").select("kind", "item_a", F.explode(F.filter("ys", lambda y: y > F.col("item_a"))).alias("item_b"))
+    ascending = lambda ys: F.explode(F.filter(ys, lambda y: y > F.col("item_a")))
+    small = gathered.where(n_blocks == 1).select("kind", F.explode("all").alias("item_a"), "all").select("kind", "item_a", ascending("all").alias("item_b"))
+    cuts = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.slice("all", i * BLOCK + 1, F.lit(BLOCK)))
+    blocks = gathered.where(n_blocks > 1).select("kind", "basket", n_blocks.alias("n_blocks"), F.posexplode(cuts).alias("block", "items"))
+    left = blocks.select("kind", "basket", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("n_blocks") - 1)).alias("j"), F.col("items").alias("xs"))
+    right = blocks.select("kind", "basket", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("items").alias("ys"))
+    met = left.join(right, ["kind", "basket", "i", "j"]).select("kind", F.explode("xs").alias("item_a"), "ys")
+    pairs = small.unionByName(met.select("kind", "item_a", ascending("ys").alias("item_b")))
     together = pairs.groupBy("kind", "item_a", "item_b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     a = frequent.select("kind", F.col("item").alias("item_a"), F.col("n_item").alias("n_a"), "n_baskets")
     b = frequent.select("kind", F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
