@@ -30,6 +30,10 @@ CYRILLIC = "аеорсухіјѕԁһԛԝӏАВЕЅІЈКМНОРСТХУԌ"
 CYRILLIC_LATIN = "aeopcyxijsdhqwlABESIJKMHOPCTXYG"
 GREEK = "ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
 GREEK_LATIN = "ovABEZHIKMNOPTYX"
+# Letters of scripts and phonetic alphabets whose shapes are those of Latin letters, and those letters, as the
+# public lists of confusable characters have them.
+OTHERS = "\u0251\u0261\u0269\u0456\u04CF\u0501\u051B\u051D\u0570\u0578\u057D\u0585\u0581\u0566\u054D\u053C\u0555\u13AA\u13F4\u13DF\u13A0\u13AC\u13C0\u13BB\u13AB\u13E6\u13DE\u13B7\u13E2\u13DA\u13A2\u13D9\u13B3\u13C3\u2C82\u2C88\u2C8E\u2C92\u2C94\u2C98\u2C9A\u2C9E\u2CA2\u2CA6\u2CA8\u2CAC\uA4D0\uA4D3\uA4DA\uA4D1\uA4E2\uA4F2\uA4F3"
+OTHERS_LATIN = "agiildqwhnuogqSLOABCDEGHJKLMPSTVWZBEHIKMNOPTYXBDCPSIO"
 # The same for words of a Cyrillic or Greek text that hold Latin letters.
 LATIN_FOR_CYRILLIC = "aeopcyxABEKMHOPCTX"
 CYRILLIC_FOR_LATIN = "аеорсухАВЕКМНОРСТХ"
@@ -82,6 +86,9 @@ def with_mapped(pieces: DataFrame) -> DataFrame:
     odd, plain = width_table()
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace("piece", HYPHENS, "-"), INVISIBLE, ""), SPACES, " ")
     text = F.translate(text, odd, plain)
+    # letters of other scripts and of phonetic alphabets stand for Latin ones only inside a word that has Latin letters
+    kept = "".join(c for c in OTHERS if c not in CYRILLIC)
+    text = F.when(text.rlike(f"\\p{{IsLatin}}[{kept}]|[{kept}]\\p{{IsLatin}}"), F.translate(text, kept, "".join(b for c, b in zip(OTHERS, OTHERS_LATIN, strict=True) if c in kept))).otherwise(text)
     for ligature, letters in LIGATURES.items():
         text = F.replace(text, F.lit(ligature), F.lit(letters))
     out = pieces.withColumn("mapped", text)
