@@ -28,7 +28,6 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from litforge.core.graph import components
 from litforge.core.session import cut, table
@@ -96,6 +95,30 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     return out
 
 
+def within_one(a: list[str], b: list[str]) -> np.ndarray:
+    """Damerau-Levenshtein distances of the pairs (a[i], b[i]) that are 0 or 1, and 2 for all others, without the full table.
+
+    Two words are one edit apart if what is left between their common beginning and common end is one letter on one side,
+    one on each, or two that are swapped.
+    """
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    width = int(max(la.max(initial=0), lb.max(initial=0))) + 1
+    ca, cb = _codes(a, width), _codes(b, width)
+    places = np.arange(width)
+    shorter = np.minimum(la, lb)
+    head = np.where((ca != cb).any(1), (ca != cb).argmax(1), width)
+    head = np.minimum(head, shorter)
+    ends = lambda codes, n: np.take_along_axis(codes, np.where(places < n[:, None], n[:, None] - 1 - places, width - 1), 1)
+    differ = (ends(ca, la) != ends(cb, lb)) | (places >= shorter[:, None])
+    tail = np.minimum(differ.argmax(1), shorter - head)
+    left, right = la - head - tail, lb - head - tail
+    rows = np.arange(len(la))
+    at = np.minimum(head, width - 2)
+    swap = (left == 2) & (right == 2) & (ca[rows, at] == cb[rows, at + 1]) & (ca[rows, at + 1] == cb[rows, at])
+    one = (np.maximum(left, right) == 1) | swap
+    return np.where((left == 0) & (right == 0), 0, np.where(one, 1, 2)).astype(np.int16)
+
+
 def distances(a: list[str], b: list[str]) -> np.ndarray:
     """Damerau-Levenshtein distances of the pairs (a[i], b[i]), all pairs at once."""
     n = len(a)
@@ -165,9 +188,8 @@ def _near(word: str, known: list[str]) -> str | None:
     return next((k for k in known if len(word) > 4 and len(k) > 4 and abs(len(k) - len(word)) <= 1 and distance(word, k) <= 1), None)
 
 
-def evidence(name: str) -> list[tuple[str, int, list[str]]]:
-    """(word, 1 if it must be a family name, its partners) of a spelling, for the counts over all spellings."""
-    words = words_of(name)
+def evidence(words: list[tuple[str, str, bool]]) -> list[tuple[str, int, list[str]]]:
+    """(word, 1 if it must be a family name, its partners) of a spelling's words, for the counts over all spellings."""
     if is_group(words):
         return []
     long = [(w, c or i > 0 and words[i - 1][0] == "p") for i, (r, w, c) in enumerate(words) if r == "w"]
@@ -175,13 +197,12 @@ def evidence(name: str) -> list[tuple[str, int, list[str]]]:
     return [(w, int(sure or c), [v for v, _ in long if v != w]) for w, c in long]
 
 
-def parse(name: str, stats: dict[str, tuple[int, int, int]]) -> tuple[str, str, str, str, str]:
-    """(kind, family, initial, given, middle initials) of a spelling; kind o, p, or empty when it holds no letters.
+def parse(words: list[tuple[str, str, bool]], stats: dict[str, tuple[int, int, int]]) -> tuple[str, str, str, str, str]:
+    """(kind, family, initial, given, middle initials) of a spelling's words; kind o, p, or empty when it holds no letters.
 
     ``stats`` has, per word, how often it must be a family name, how often it stands beside such a word, and its
     number of partners.
     """
-    words = words_of(name)
     if is_group(words):
         field = next((f for r, w, _ in words if (f := _near(w, FIELDS_OF))), "")
         own = [w for r, w, _ in words if len(w) > 2 and _near(w, GENERIC + FIELDS_OF) is None]
@@ -319,7 +340,7 @@ def radius_pairs(names: DataFrame, radius: int = RADIUS) -> DataFrame:
             i, j = i[keep], j[keep]
             for chunk in range(0, len(i), 20_000):
                 x, y = list(words[i[chunk : chunk + 20_000]]), list(words[j[chunk : chunk + 20_000]])
-                d = distances(x, y)
+                d = within_one(x, y) if radius == 1 else distances(x, y)
                 for a, b, e in zip(x, y, d, strict=True):
                     if e <= radius:
                         left.append(min(a, b))
@@ -336,13 +357,16 @@ def radius_pairs(names: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def parsed(spellings: DataFrame) -> DataFrame:
     """name, kind, family, initial, given, middle of distinct ``spellings(name)``."""
-    token = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("sure", T.IntegerType()), T.StructField("partners", T.ArrayType(T.StringType()))]))
+    word = "array<struct<role:string,word:string,comma:boolean>>"
+    token = "array<struct<word:string,sure:int,partners:array<string>>>"
 
-    @F.pandas_udf(token)
-    def tokens(names: pd.Series) -> pd.Series:
-        return names.map(lambda x: [{"word": w, "sure": s, "partners": p} for w, s, p in evidence(x)])
+    def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(x, words, evidence(words)) for x in frame.name for words in [words_of(x)]]
+            yield pd.DataFrame(rows, columns=["name", "words", "tokens"])
 
-    taken = cut(spellings.select("name", tokens("name").alias("tokens")))
+    # every spelling is taken apart once; its words are kept for the parse
+    taken = cut(spellings.select("name").mapInPandas(take, f"name string, words {word}, tokens {token}"))
     one = taken.select("name", F.explode("tokens").alias("t")).select("name", "t.*")
     sure = cut(one.groupBy("word").agg(F.sum("sure").alias("sure")))
     beside = one.select("word", F.explode("partners").alias("p")).join(sure.select(F.col("word").alias("p"), F.col("sure").alias("p_sure")), "p")
@@ -355,12 +379,12 @@ def parsed(spellings: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for name, known_ in zip(frame.name, frame.known, strict=True):
+            for name, words, known_ in zip(frame.name, frame.words, frame.known, strict=True):
                 stats = {k["word"]: (k["sure"], k["given"], k["partners"]) for k in (() if known_ is None else known_)}
-                rows.append((name, *parse(name, stats)))
+                rows.append((name, *parse([(w["role"], w["word"], w["comma"]) for w in words], stats)))
             yield pd.DataFrame(rows, columns=["name", "kind", "family", "initial", "given", "middle"]).astype(object)
 
-    return taken.select("name").join(told, "name", "left").mapInPandas(run, f"name string, {shape}").where(F.col("kind") != "")
+    return taken.select("name", "words").join(told, "name", "left").mapInPandas(run, f"name string, {shape}").where(F.col("kind") != "")
 
 
 def link_names(spellings: DataFrame) -> DataFrame:
