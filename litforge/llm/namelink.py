@@ -120,7 +120,12 @@ def within_one(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def distances(a: list[str], b: list[str]) -> np.ndarray:
-    """Damerau-Levenshtein distances of the pairs (a[i], b[i]), all pairs at once."""
+    """Damerau-Levenshtein distances of the pairs (a[i], b[i]), all pairs of different words at once."""
+    differ = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y]
+    if len(differ) < len(a):
+        out = np.zeros(len(a), np.int16)
+        out[differ] = distances([a[i] for i in differ], [b[i] for i in differ])
+        return out
     n = len(a)
     if not n:
         return np.zeros(0, np.int16)

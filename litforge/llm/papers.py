@@ -250,7 +250,7 @@ def bounds(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
     apart = np.abs(a["year"] - b["year"])
     total += np.where((a["year"] == NONE) | (b["year"] == NONE), 0.0, np.where(apart == 0, 1.0, np.where(apart == 1, 0.0, -2.0)))
     shorter, longer = np.minimum(a["length"], b["length"]), np.maximum(a["length"], b["length"])
-    edits = np.maximum(longer - shorter, np.ceil(np.bitwise_count(a["words"] ^ b["words"]) / 3))
+    edits = np.maximum(longer - shorter, np.ceil(np.bitwise_count((a["words"] ^ b["words"]).view(np.uint64)) / 3))
     likeness = 1 - edits / np.maximum(longer, 1)
     whole = np.select([likeness >= 0.97, likeness >= 0.85, likeness >= 0.7, likeness >= 0.5], [4.0, 3.0, 0.5, -2.0], -4.0)
     cut_one = (a["cut"] | b["cut"]) > 0
