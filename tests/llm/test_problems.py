@@ -108,7 +108,7 @@ def canonical(spark, *texts):
 
 def test_equal_looking_texts_become_equal(spark):
     odd = ["Ｓｔｕｄｙ of café", "Stu​dy of café", "Study of café", "Ѕtudу of café", "ѕеріоuѕ", "plain – “text”", "исследование", "Ꮪtudy", "", None]
-    assert canonical(spark, *odd) == ["Study of café", "Study of café", "Study of café", "Study of café", "serious", X
+    assert canonical(spark, *odd) == ["Study of café", "Study of café", "Study of café", "Study of café", "sepious", "plain – “text”", "исследование", "Study", "", None]
     rows = spark.createDataFrame([(i, "title", t) for i, t in enumerate(odd)], "row_id int, field_name string, value string")
     assert sorted(r.row_id for r in lookalikes.odd_fields(rows).collect()) == [0, 1, 2, 3, 4, 7]
 
