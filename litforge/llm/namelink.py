@@ -5,13 +5,14 @@ initials; which word is the family name is decided by counts over all spellings
 before a comma, words with few different partners). Spellings with one family name are grouped by given name, where
 initials, nicknames and single typing errors agree.
 
-Family names that differ by a typing error are found by metric-space partitioning with the Damerau-Levenshtein
-distance, a true metric: pivots are drawn by hash, every name is assigned to its nearest pivot's cell and copied to each
-cell whose pivot is at most 2 r farther (by the triangle inequality no pair within r is missed), and each cell runs an
-exact radius join, in which names whose distances to any pivot differ by more than r are passed over. A rare spelling
-is linked to a better attested name, never two attested names with each other. What is rare is told from the occurrences
-of both names over all rows, so that a typing error that recurs stays one however much there is to read, while twins,
-each with people of its own, stay apart.
+Family names that differ by a typing error are found in the metric space of the Damerau-Levenshtein distance, a true
+metric. Its cells are the strings that r deletions lead to: every name is copied to each cell within r deletions of it, two
+names within r of each other share a cell (each edit of the metric is one deletion on either side at most), and the names of
+a cell are compared with the metric. For r = 1 a cell holds at most one name for each letter and place, so cells stay
+small however many names there are; cells around pivots held nearly all names of a length, as most names are equally
+far from each other. A rare spelling is linked to a better attested name, never two attested names with each other. What is
+rare is told from the occurrences of both names over all rows, so that a typing error that recurs stays one however much
+there is to read, while twins, each with people of its own, stay apart.
 
 Defined results: null and blank spellings have no pair; a spelling that occurs often gives its pairs once; spellings without
 letters are equal only to themselves and have no pair; empty tables give no rows.
@@ -19,14 +20,17 @@ letters are equal only to themselves and have no pair; empty tables give no rows
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litforge.core.graph import components
@@ -35,8 +39,6 @@ from litforge.llm.lookalikes import CYRILLIC, CYRILLIC_LATIN, GREEK, GREEK_LATIN
 
 #: Typing errors allowed in a family name.
 RADIUS = 1
-#: Names in a cell that one more pivot is drawn for, and most pivots of a block.
-CELL, MOST_PIVOTS = 400, 64
 #: A name with at most this many spellings may be a mistyped form of a better attested one, and so may one that occurs
 #: at most this often plus SHARE times as often as the better attested one (one slip is repeated by few per cent).
 RARE, SHARE = 2, 0.05
@@ -56,11 +58,13 @@ GENERIC = (
 ).split()
 FIELDS_OF = "kidney lung heart infection cancer brain liver".split()
 TABLE = str.maketrans(CYRILLIC + GREEK, CYRILLIC_LATIN + GREEK_LATIN) | {ord("ß"): "ss", ord("ø"): "o", ord("ł"): "l", ord("đ"): "d", ord("ı"): "i"}
-SPLIT = regex.compile(r"[^\p{L}\p{M},]+")
+PARTS, PLAIN_PARTS = regex.compile(r"[\p{L}\p{M},]+"), re.compile(r"[A-Za-z,]+")
 
 
 def fold(text: str) -> str:
     """Letters without accents, look-alike and invisible ones replaced; the case is kept."""
+    if text.isascii():
+        return text
     text = unicodedata.normalize("NFKC", regex.sub(r"\p{Cf}", "", text)).translate(TABLE)
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
@@ -88,6 +92,17 @@ def distance(a: str, b: str) -> int:
     return grid[-1][-1]
 
 
+def one_apart(a: str, b: str) -> bool:
+    """Whether the Damerau-Levenshtein distance of two words is at most 1, without the table."""
+    i = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        i += 1
+    a, b = a[i:], b[i:]
+    return a[1:] == b[1:] or a == b[1:] or a[1:] == b or a[2:] == b[2:] and a[:2] == b[1::-1]
+
+
 def _codes(words: list[str], width: int) -> np.ndarray:
     out = np.zeros((len(words), width), np.int32)
     for row, word in zip(out, words, strict=True):
@@ -159,16 +174,17 @@ def distances(a: list[str], b: list[str]) -> np.ndarray:
 
 def words_of(name: str) -> list[tuple[str, str, bool]]:
     """(role, key, before a comma) of the words of a spelling; role: i initials, p particle, w word."""
-    parts = [w for w in SPLIT.split(fold(name)) if w.strip(",")]
+    text = fold(name)
     flat: list[tuple[str, bool]] = []
-    for part in parts:
-        pieces = regex.findall(r"[^,]+|,", part)
-        for piece in pieces:
-            if piece == ",":
-                if flat:
+    for part in (PLAIN_PARTS if text.isascii() else PARTS).findall(text):
+        if "," not in part:
+            flat.append((part, False))
+        elif part.strip(","):
+            for piece in re.findall(r"[^,]+|,", part):
+                if piece != ",":
+                    flat.append((piece, False))
+                elif flat:
                     flat[-1] = (flat[-1][0], True)
-            else:
-                flat.append((piece, False))
     out = []
     for i, (word, comma) in enumerate(flat):
         after = flat[i + 1][0] if i + 1 < len(flat) else ""
@@ -182,214 +198,249 @@ def words_of(name: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-def is_group(words: list[tuple[str, str, bool]]) -> bool:
-    """Whether the words are those of an organisation: two of its generic words, typing errors allowed."""
-    return sum(_near(w, GENERIC + FIELDS_OF) is not None for r, w, _ in words if len(w) > 2) >= 2
+def _ends(known: list[str]) -> dict[str, list[str]]:
+    """Known words by their first and by their last two letters; one slip in a word of over four letters leaves one of the two as it is."""
+    out = defaultdict(list)
+    for k in known:
+        for end in (k[:2], "-" + k[-2:]):
+            out[end].append(k)
+    return dict(out)
+
 
+ANY_OF = GENERIC + FIELDS_OF
+KNOWN = {known: (frozenset(words), _ends(words)) for known, words in (("any", ANY_OF), ("field", FIELDS_OF))}
 
-def _near(word: str, known: list[str]) -> str | None:
-    if word in known:
+
+def _near(word: str, known: str) -> str | None:
+    """The word itself if known, else the first known word that is one typing error off."""
+    words, ends = KNOWN[known]
+    if word in words:
         return word
-    return next((k for k in known if len(word) > 4 and len(k) > 4 and abs(len(k) - len(word)) <= 1 and distance(word, k) <= 1), None)
+    if len(word) < 5 or not (near := [*ends.get(word[:2], ()), *ends.get("-" + word[-2:], ())]):
+        return None
+    return min((k for k in near if len(k) > 4 and one_apart(word, k)), key=ANY_OF.index, default=None)
+
 
+def is_group(words: list[tuple[str, str, bool]]) -> bool:
+    """Whether the words are those of an organisation: two of its generic words, typing errors allowed."""
+    long = [w for _, w, _ in words if len(w) > 2]
+    return len(long) > 1 and sum(_near(w, "any") is not None for w in long) > 1
 
-def evidence(words: list[tuple[str, str, bool]]) -> list[tuple[str, int, list[str]]]:
-    """(word, 1 if it must be a family name, its partners) of a spelling's words, for the counts over all spellings."""
+
+def evidence(words: list[tuple[str, str, bool]]) -> list[tuple[str, str | None]]:
+    """(word, None) of each word that must be a family name and (word, partner) of words beside others, for the counts over all spellings."""
     if is_group(words):
         return []
     long = [(w, c or i > 0 and words[i - 1][0] == "p") for i, (r, w, c) in enumerate(words) if r == "w"]
     sure = len(long) == 1 and len(words) > 1
-    return [(w, int(sure or c), [v for v, _ in long if v != w]) for w, c in long]
+    return [(w, None) for w, c in long if sure or c] + [(w, v) for w, _ in long for v, _ in long if v != w]
+
+
+def undecided(words: list[tuple[str, str, bool]]) -> list[tuple[int, str]]:
+    """(place, word) of the words of which the counts over all spellings tell which is the family name; empty if the spelling tells."""
+    long = [(i, w) for i, (r, w, _) in enumerate(words) if r == "w"]
+    if len(long) < 2 or any(words[i][2] or i and words[i - 1][0] == "p" for i, _ in long) or is_group(words):
+        return []
+    return long
 
 
-def parse(words: list[tuple[str, str, bool]], stats: dict[str, tuple[int, int, int]]) -> tuple[str, str, str, str, str]:
-    """(kind, family, initial, given, middle initials) of a spelling's words; kind o, p, or empty when it holds no letters.
+def parse(words: list[tuple[str, str, bool]], at: int | None) -> tuple[str, str, str, str, str] | None:
+    """(kind, family, initial, given, middle initial) of a spelling's words; kind o or p, or None when it holds no letters.
 
-    ``stats`` has, per word, how often it must be a family name, how often it stands beside such a word, and its
-    number of partners.
+    ``at`` is the place of the family name where the spelling does not tell it.
     """
     if is_group(words):
-        field = next((f for r, w, _ in words if (f := _near(w, FIELDS_OF))), "")
-        own = [w for r, w, _ in words if len(w) > 2 and _near(w, GENERIC + FIELDS_OF) is None]
-        return ("o", max(own, key=len), field, "", "") if own else ("", "", "", "", "")
-    long = [(i, w) for i, (r, w, _) in enumerate(words) if r == "w"]
+        field = next((f for _, w, _ in words if (f := _near(w, "field"))), "")
+        own = [w for _, w, _ in words if len(w) > 2 and _near(w, "any") is None]
+        return ("o", max(own, key=len), field, "", "") if own else None
+    long = [i for i, (r, _, _) in enumerate(words) if r == "w"]
     if not long:
-        return "", "", "", "", ""
-    commas = [i for i, w in long if words[i][2]]
-    led = [i for i, w in long if i and words[i - 1][0] == "p"]
-    if commas or led:
-        at = (led or commas)[-1]
-    elif len(long) == 1:
-        at = long[0][0]
-    else:
-        seen = [(i, *stats.get(w, (0, 0, 0))) for i, w in long]
-        # the word most often a family name for sure, else one never beside such a word, with most partners, the last
-        at = max(seen, key=lambda x: (x[1] / (x[1] + x[2] + 1) if x[1] else -1.0, x[2] == 0, x[3] if x[2] == 0 else -x[3], x[0]))[0]
+        return None
+    led = [i for i in long if i and words[i - 1][0] == "p"]
+    commas = [i for i in long if words[i][2]]
+    if told := led or commas or (long if len(long) == 1 else []):
+        at = told[-1]
     family = words[at][1]
-    rest = [(r, w) for i, (r, w, _) in enumerate(words) if i != at and r != "p"]
     given, middle, initial = "", "", ""
-    for r, w in rest:
-        if r == "i":
-            letters = w
-            if not initial:
-                initial, letters = w[0], w[1:]
-            middle += letters
-        elif not initial:
+    for i, (r, w, _) in enumerate(words):
+        if i == at or r == "p":
+            continue
+        if initial:
+            middle = middle or w[0]
+        elif r == "i":
+            initial, middle = w[0], w[1:2]
+        else:
             given = SHORT.get(w, w)
             initial = given[0]
-        else:
-            middle += w[0]
     return "p", family, initial, given, middle
 
 
 # ---------------------------------------------------------------- grouping spellings of one family name
 
 
-def group_given(rows: pd.DataFrame) -> pd.DataFrame:
-    """Splits the rows of one family name by given name; adds column ``part``.
-
-    Full given names are joined when they are one edit apart and one of them is rare; rows with initials only join
-    the given names that start with the initial, told apart by middle initials if there are several. ``occurrences``
-    of a row are those of its spelling, ``given_seen`` those of its given name beside all family names, by which a
-    given name of its own is known from a mistyped one.
+def _close_names(names: list[str]) -> dict[str, list[str]]:
+    """Per name of over two letters the others that are one edit apart."""
+    if len(names) < 10:
+        return {g: [h for h in names if h != g and abs(len(g) - len(h)) < 2 and one_apart(g, h)] for g in names if len(g) > 2}
+    cells = defaultdict(list)
+    for g in names:
+        for form in {g, *(g[:i] + g[i + 1 :] for i in range(len(g)))}:
+            cells[form].append(g)
+    near: dict[str, set[str]] = defaultdict(set)
+    for cell in cells.values():
+        for g in cell if len(cell) > 1 else ():
+            if len(g) > 2:
+                near[g].update(h for h in cell if h != g and h not in near[g] and one_apart(g, h))
+    return {g: list(x) for g, x in near.items()}
+
+
+def group_given(rows: list[tuple[str, str, str, int, int, int]]) -> list[str]:
+    """The part that each row of one family name belongs to: its given name or, where that is not known, its initial.
+
+    Rows are (initial, given, middle initial, spellings, occurrences, occurrences of the given name beside all family
+    names), by which last a given name of its own is known from a mistyped one. Full given names are joined when they
+    are one edit apart and one of them is rare; rows with initials only join the given names that start with the initial, told
+    apart by middle initials if there are several.
     """
-    counts = Counter(g for g in rows.given if g)
+    counts: Counter = Counter()
     seen: Counter = Counter()
-    for g, n in zip(rows.given, rows.occurrences, strict=True):
-        seen[g] += n
-    everywhere = dict(zip(rows.given, rows.given_seen, strict=True))
-
-    def close(g: str, h: str) -> bool:
-        return len(g) > 2 and abs(len(g) - len(h)) <= 1 and distance(g, h) <= 1
+    everywhere = {}
+    for _, g, _, n, occurrences, given_seen in rows:
+        if g:
+            counts[g] += n
+            seen[g] += occurrences
+            everywhere[g] = given_seen
+    near = _close_names(list(counts)) if len(counts) > 1 else {}
 
     def slip(g: str, h: str) -> bool:
         return seen[g] < seen[h] and seen[g] <= RARE + SHARE * seen[h] and everywhere[g] <= RARE + SHARE * everywhere[h]
 
-    late = {g for g in counts if counts[g] > RARE and any(slip(g, h) and close(g, h) for h in counts)}
-    names = sorted(counts, key=lambda g: (g in late, -counts[g], g))
+    late = {g for g in near if counts[g] > RARE and any(slip(g, h) for h in near[g])}
     home: dict[str, str] = {}
-    for g in names:
-        near = [h for h in dict.fromkeys(home.values()) if (counts[g] <= RARE or g in late and slip(g, h)) and close(g, h)]
-        home[g] = near[0] if near else g
-    middles: dict[str, Counter] = {}
-    for g, m in zip(rows.given, rows.middle, strict=True):
-        if g and m:
-            middles.setdefault(home[g], Counter())[m[0]] += 1
-    full = list(dict.fromkeys(home.values()))
+    #: names that others are joined to, in the order in which they were met
+    full: dict[str, int] = {}
+    for g in sorted(counts, key=lambda g: (g in late, -counts[g], g)):
+        fits = [h for h in near.get(g, ()) if h in full and (counts[g] <= RARE or g in late and slip(g, h))]
+        home[g] = min(fits, key=full.__getitem__) if fits else g
+        full.setdefault(home[g], len(full))
+    middles = {(home[g], m) for _, g, m, *_ in rows if g and m}
+    starts: dict[str, list[str]] = defaultdict(list)
+    for h in full:
+        starts[h[0]].append(h)
     part = []
-    for g, i, m in zip(rows.given, rows.initial, rows.middle, strict=True):
+    for i, g, m, *_ in rows:
         if g:
             part.append(home[g])
             continue
-        fits = [h for h in full if h[0] == i]
+        fits = starts.get(i, [])
         if len(fits) > 1 and m:
-            fits = [h for h in fits if middles.get(h, {}).get(m[0])] or fits
+            fits = [h for h in fits if (h, m) in middles] or fits
         part.append(fits[0] if len(fits) == 1 else i)
-    return rows.assign(part=part)
+    return part
 
 
 # ---------------------------------------------------------------- metric-space partitioning
 
 
+def candidates(names: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """block, name_a < name_b: the pairs of distinct names of one block of ``names(block, name)`` that share a cell."""
+
+    def cells(form: Column, left: int) -> Column:
+        """Hashes of the strings that at most ``left`` deletions lead to."""
+        if not left:
+            return F.array(F.xxhash64("block", form))
+        places = F.sequence(F.lit(1), F.greatest(F.length(form), F.lit(1)))
+        shorter = F.transform(places, lambda i: F.concat(F.substring(form, F.lit(1), i - 1), F.substring(form, i + 1, F.length(form))))
+        if left == 1:
+            return F.concat(F.array(F.xxhash64("block", form)), F.transform(shorter, lambda x: F.xxhash64("block", x)))
+        return F.concat(F.array(F.xxhash64("block", form)), F.flatten(F.transform(F.array_distinct(shorter), lambda x: cells(x, left - 1))))
+
+    copies = names.select("block", "name").distinct().select("block", "name", F.explode(F.array_distinct(cells(F.col("name"), radius))).alias("cell"))
+    held = copies.repartition("cell").groupBy("cell").agg(F.collect_list(F.struct("block", "name")).alias("held")).where(F.size("held") > 1)
+    # equal hashes of different strings only add pairs, which the metric tells
+    one = held.select(F.explode("held").alias("x"), "held")
+    two = one.select("x", F.explode(F.filter("held", lambda y: (y["block"] == F.col("x.block")) & (y["name"] > F.col("x.name")))).alias("y"))
+    return two.select(F.col("x.block").alias("block"), F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b")).distinct()
+
+
 def radius_pairs(names: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """block, name_a < name_b, distance: all pairs of distinct names of one block of ``names(block, name)`` within ``radius``.
+    """block, name_a < name_b, distance: all pairs of distinct names of one block of ``names(block, name)`` within ``radius``."""
 
-    Blocks are cut by length first (names within r edits differ by at most r in length), then by nearest pivot. At
-    most MOST_PIVOTS pivots of each block and length are broadcast.
-    """
-    lengths = F.sequence(F.length("name"), F.length("name") + radius)
-    sliced = names.select("block", "name").distinct().select("block", "name", F.explode(lengths).alias("size"))
-    sizes = sliced.groupBy("block", "size").agg(F.count("*").alias("n"), F.min("name").alias("one"))
-    share = F.least(F.ceil(F.col("n") / CELL) + 1, F.lit(MOST_PIVOTS))
-    drawn = sliced.join(sizes, ["block", "size"]).where(F.pmod(F.xxhash64("name"), F.col("n")) < share)
-    # names of one slice drawn by hash; the slice's first ones are kept, so that the broadcast is bounded
-    pivots = drawn.groupBy("block", "size").agg(F.slice(F.array_sort(F.collect_set("name")), 1, MOST_PIVOTS).alias("pivots"))
-    # a slice of which none was drawn gets its smallest name
-    points = sizes.join(pivots, ["block", "size"], "left").select("block", "size", F.coalesce("pivots", F.array("one")).alias("pivots"))
-    spread = sliced.join(points, ["block", "size"]).select("block", "size", "name", "pivots")
-
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for _, part in frame.groupby(["block", "size"], sort=False):
-                points = list(part.pivots.iloc[0])
-                words = list(part.name)
-                table_ = np.stack([distances(words, [p] * len(words)) for p in points], 1)
-                least = table_.min(1)
-                nearest = table_.argmin(1)
-                rows, cells = np.nonzero(table_ <= (least + 2 * radius)[:, None])
-                yield pd.DataFrame(
-                    {
-                        "block": part.block.to_numpy()[rows], "size": part["size"].to_numpy()[rows], "cell": cells, "name": part.name.to_numpy()[rows],
-                        "home": cells == nearest[rows], "far": [bytes(np.minimum(table_[r], 255).astype(np.uint8)) for r in rows],
-                    }
-                ).astype({"block": object, "name": object, "far": object})
-
-    cells = spread.mapInPandas(assign, "block string, size int, cell int, name string, home boolean, far binary")
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        far = np.stack([np.frombuffer(x, np.uint8) for x in group.far]).astype(np.int16)
-        words = group.name.to_numpy()
-        homes = np.flatnonzero(group.home.to_numpy())
-        left, right, found = [], [], []
-        step = max(1, 4_000_000 // max(len(words), 1))
-        for at in range(0, len(homes), step):
-            own = homes[at : at + step]
-            near = np.abs(far[own, 0][:, None] - far[None, :, 0]) <= radius
-            for k in range(1, min(far.shape[1], 6)):
-                near &= np.abs(far[own, k][:, None] - far[None, :, k]) <= radius
-            i, j = np.nonzero(near)
-            i = own[i]
-            keep = words[i] != words[j]
-            i, j = i[keep], j[keep]
-            keep = (np.abs(far[i] - far[j]) <= radius).all(1)
-            i, j = i[keep], j[keep]
-            for chunk in range(0, len(i), 20_000):
-                x, y = list(words[i[chunk : chunk + 20_000]]), list(words[j[chunk : chunk + 20_000]])
+            for at in range(0, len(frame), 20_000):
+                part = frame.iloc[at : at + 20_000]
+                x, y = list(part.name_a), list(part.name_b)
                 d = within_one(x, y) if radius == 1 else distances(x, y)
-                for a, b, e in zip(x, y, d, strict=True):
-                    if e <= radius:
-                        left.append(min(a, b))
-                        right.append(max(a, b))
-                        found.append(int(e))
-        return pd.DataFrame({"block": [group.block.iloc[0]] * len(left), "name_a": left, "name_b": right, "distance": found}).astype({"block": object, "name_a": object, "name_b": object, "distance": "int32"})
+                yield part.assign(distance=d.astype(np.int32))[d <= radius]
 
-    pairs = cells.groupBy("block", "size", "cell").applyInPandas(join, "block string, name_a string, name_b string, distance int")
-    return pairs.distinct()
+    return candidates(names, radius).mapInPandas(measure, "block string, name_a string, name_b string, distance int")
 
 
 # ---------------------------------------------------------------- the operator
 
 
-def parsed(spellings: DataFrame) -> DataFrame:
-    """name, kind, family, initial, given, middle of distinct ``spellings(name)``."""
-    word = "array<struct<role:string,word:string,comma:boolean>>"
-    token = "array<struct<word:string,sure:int,partners:array<string>>>"
+def parsed(names: DataFrame) -> DataFrame:
+    """name, occurrences, key of distinct ``names(name, occurrences)``; key is kind|family|initial|given|middle initial."""
 
-    def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(x, words, evidence(words)) for x in frame.name for words in [words_of(x)]]
-            yield pd.DataFrame(rows, columns=["name", "words", "tokens"])
-
-    # every spelling is taken apart once; its words are kept for the parse
-    taken = cut(spellings.select("name").mapInPandas(take, f"name string, words {word}, tokens {token}"))
-    one = taken.select("name", F.explode("tokens").alias("t")).select("name", "t.*")
-    sure = cut(one.groupBy("word").agg(F.sum("sure").alias("sure")))
-    beside = one.select("word", F.explode("partners").alias("p")).join(sure.select(F.col("word").alias("p"), F.col("sure").alias("p_sure")), "p")
-    # a given name has a great many partners, of which an estimate is enough
-    given = beside.groupBy("word").agg(F.sum((F.col("p_sure") > 0).cast("int")).alias("given"), F.approx_count_distinct("p", 0.1).alias("partners"))
-    known = sure.join(given, "word", "left").select("word", "sure", F.coalesce("given", F.lit(0)).alias("given"), F.coalesce("partners", F.lit(0)).alias("partners"))
-    told = one.select("name", "word").distinct().join(known, "word").groupBy("name").agg(F.collect_list(F.struct("word", "sure", "given", "partners")).alias("known"))
-    shape = "kind string, family string, initial string, given string, middle string"
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [t for name in batch["name"].to_pylist() for t in evidence(words_of(name))]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.string())], ["word", "partner"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for name, words, known_ in zip(frame.name, frame.words, frame.known, strict=True):
-                stats = {k["word"]: (k["sure"], k["given"], k["partners"]) for k in (() if known_ is None else known_)}
-                rows.append((name, *parse([(w["role"], w["word"], w["comma"]) for w in words], stats)))
-            yield pd.DataFrame(rows, columns=["name", "kind", "family", "initial", "given", "middle"]).astype(object)
+    def open_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(name, i, w) for name in batch["name"].to_pylist() for i, w in undecided(words_of(name))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["name", "place", "word"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [parse(words_of(name), at) for name, at in zip(batch["name"].to_pylist(), batch["at"].to_pylist(), strict=True)]
+            keys = pa.array([r and "|".join(r) for r in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([batch["name"], batch["occurrences"], keys], ["name", "occurrences", "key"])
 
-    return taken.select("name", "words").join(told, "name", "left").mapInPandas(run, f"name string, {shape}").where(F.col("kind") != "")
+    # a spelling is taken apart anew in each pass, which costs less than to keep its words
+    seen = cut(names.mapInArrow(tokens, "word string, partner string").groupBy("word", "partner").agg(F.count("*").alias("n")))
+    sure = seen.where(F.col("partner").isNull()).select("word", F.col("n").alias("sure"))
+    beside = seen.where(F.col("partner").isNotNull()).join(sure.select(F.col("word").alias("partner"), F.lit(1).alias("known")), "partner", "left")
+    # a given name has a great many partners, of which an estimate is enough
+    given = beside.groupBy("word").agg(F.sum(F.when(F.col("known").isNotNull(), F.col("n")).otherwise(0)).alias("given"), F.approx_count_distinct("partner", 0.1).alias("partners"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    known = given.join(sure, "word", "left").select("word", zero("sure").alias("sure"), "given", "partners")
+    # the word most often a family name for sure, else one never beside such a word, with most partners, the last
+    alone = zero("given") == 0
+    order = F.struct(
+        F.when(zero("sure") > 0, F.col("sure") / (F.col("sure") + zero("given") + 1)).otherwise(-1.0).alias("sure"), alone.alias("alone"), F.when(alone, zero("partners")).otherwise(-zero("partners")).alias("partners"), "place",
+    )
+    told = names.select("name").mapInArrow(open_words, "name string, place int, word string").join(known, "word", "left").groupBy("name").agg(F.max_by("place", order).alias("at"))
+    return names.join(told, "name", "left").mapInArrow(run, "name string, occurrences long, key string").where(F.col("key").isNotNull())
+
+
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, entity and, in one row of an entity, its numbers, from rows sorted by kind and family."""
+    columns = ("key", "head", "initial", "given", "middle", "n", "seen", "given_seen")
+    rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in columns), strict=True))
+    out: list[tuple] = []
+
+    def batch_of() -> pa.RecordBatch:
+        kinds = (("key", pa.string()), ("entity", pa.string()), ("n", pa.int64()), ("seen", pa.int64()), ("family_seen", pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(kinds)], [c for c, _ in kinds])
+
+    for head, family in groupby(rows, key=lambda r: r[1]):
+        own = list(family)
+        parts = group_given([r[2:] for r in own])
+        n, seen = Counter(), Counter()
+        for r, part in zip(own, parts, strict=True):
+            n[part] += r[5]
+            seen[part] += r[6]
+        whole = sum(seen.values())
+        for r, part in zip(own, parts, strict=True):
+            # the numbers stand beside the first key only
+            out.append((r[0], f"{head}|{part}", n.pop(part, None), seen.pop(part, None), whole))
+        if len(out) >= 10_000:
+            yield batch_of()
+            out.clear()
+    yield batch_of()
 
 
 def link_names(spellings: DataFrame) -> DataFrame:
@@ -399,24 +450,21 @@ def link_names(spellings: DataFrame) -> DataFrame:
     """
     often = F.sum("occurrences") if "occurrences" in spellings.columns else F.count("*")
     names = cut(spellings.where(F.col("name").isNotNull() & F.col("name").rlike(r"\p{L}")).groupBy("name").agg(often.alias("occurrences")))
-    found = cut(parsed(names.select("name")).join(names, "name"))
-    full = found.where(F.col("given") != "")
-    given = full.groupBy("given").agg(F.sum("occurrences").alias("given_seen"))
-    found = full.join(given, "given").unionByName(found.where(F.col("given") == "").withColumn("given_seen", F.lit(0).cast("long")))
-    split = cut(
-        found.groupBy("kind", "family").applyInPandas(
-            lambda rows: group_given(rows)[["name", "kind", "family", "initial", "occurrences", "part"]].astype({"name": object}),
-            "name string, kind string, family string, initial string, occurrences long, part string",
-        )
-    )
-    entity = F.concat_ws("|", "kind", "family", F.when(F.col("kind") == "o", F.col("initial")).otherwise(F.col("part")))
-    split = split.withColumn("entity", entity)
-    first = F.when(F.col("kind") == "o", F.col("initial")).otherwise(F.substring("part", 1, 1))
-    sizes = split.groupBy("entity", "kind", "family", "part", first.alias("first")).agg(F.count("*").alias("n"), F.sum("occurrences").alias("seen"))
-    whole = F.sum("seen").over(Window.partitionBy("kind", "family"))
-    sizes = cut(sizes.withColumn("block", F.concat("kind", "first")).withColumn("family_seen", whole))
+    found = cut(parsed(names))
+    # what follows depends on a spelling by its key alone
+    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.sum("occurrences").alias("seen"))
+    field = F.split("key", r"\|", -1)
+    keys = keys.select("key", F.substring_index("key", "|", 2).alias("head"), field[2].alias("initial"), field[3].alias("given"), field[4].alias("middle"), "n", "seen")
+    full = keys.where(F.col("given") != "")
+    given = full.groupBy("given").agg(F.sum("seen").alias("given_seen"))
+    keys = full.join(given, "given").unionByName(keys.where(F.col("given") == "").withColumn("given_seen", F.lit(0).cast("long")))
+    split = cut(keys.repartition("head").sortWithinPartitions("head").mapInArrow(_entities, "key string, entity string, n long, seen long, family_seen long"))
+    part = F.split("entity", r"\|", -1)
+    sizes = split.where(F.col("n").isNotNull()).select("entity", part[0].alias("kind"), part[1].alias("family"), part[2].alias("part"), "n", "seen", "family_seen")
+    first = F.when(F.col("kind") == "o", F.col("part")).otherwise(F.substring("part", 1, 1))
+    sizes = sizes.withColumn("block", F.concat("kind", first))
     near = radius_pairs(sizes.select("block", F.col("family").alias("name")))
-    both = near.select("block", F.col("name_a").alias("x"), F.col("name_b").alias("y")).union(near.select("block", F.col("name_b").alias("x"), F.col("name_a").alias("y")))
+    both = near.select("block", F.explode(F.array(F.struct(F.col("name_a").alias("x"), F.col("name_b").alias("y")), F.struct(F.col("name_b").alias("x"), F.col("name_a").alias("y")))).alias("p")).select("block", "p.x", "p.y")
     rare = sizes.select("block", F.col("family").alias("x"), F.col("part").alias("part_x"), F.col("n").alias("n_x"), F.col("seen").alias("seen_x"), F.col("family_seen").alias("family_x"), F.col("entity").alias("a"))
     known = sizes.select("block", F.col("family").alias("y"), F.col("part").alias("part_y"), F.col("n").alias("n_y"), F.col("seen").alias("seen_y"), F.col("family_seen").alias("family_y"), F.col("entity").alias("b"))
     same = (F.col("part_x") == F.col("part_y")) | (F.length("part_x") <= 1) | (F.length("part_y") <= 1) | (F.levenshtein("part_x", "part_y") <= 2)
@@ -427,8 +475,10 @@ def link_names(spellings: DataFrame) -> DataFrame:
     umlaut = F.regexp_replace("x", "(?<=[aou])e", "") == F.regexp_replace("y", "(?<=[aou])e", "")
     fit = F.struct((F.col("part_x") == F.col("part_y")).alias("equal"), "n_y", "b")
     links = both.join(rare, ["block", "x"]).join(known, ["block", "y"]).where(same & (better & ((F.col("n_x") <= RARE) | umlaut) | slip)).groupBy("a").agg(F.max_by("b", fit).alias("b"))
-    joined = components(links.unionByName(sizes.select(F.col("entity").alias("a"), F.col("entity").alias("b"))))
-    return split.select("name", "entity").join(joined, split["entity"] == joined["node"]).select("name", F.col("component").alias("entity"))
+    # an entity without a link is a component of its own
+    joined = components(links).select(F.col("node").alias("entity"), "component")
+    whole = split.select("key", "entity").join(joined, "entity", "left").select("key", F.coalesce("component", "entity").alias("entity"))
+    return found.select("name", "key").join(whole, "key").select("name", "entity")
 
 
 def name_pairs(linked: DataFrame) -> DataFrame:
